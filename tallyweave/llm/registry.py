@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .divergence import op2_quality_divergence
 from .fingerprint import op1_merkle_fingerprint
+from .language import op3_language_spans
+from .packing import op4_best_fit_packing
+from .tokens import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_merkle_fingerprint, op2_quality_divergence)}
+QUERIES = {f.__name__: f for f in (op1_merkle_fingerprint, op2_quality_divergence, op3_language_spans, op4_best_fit_packing, op6_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
