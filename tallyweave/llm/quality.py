@@ -11,8 +11,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WHITE, crc_mod, documents, materialize, table
@@ -28,9 +29,9 @@ STATISTICS = ("words", "word_length", "upper", "space", "point", "digit", "symbo
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``x``, the STATISTICS of the whole text; null counts as empty, whose shares are 0."""
+    """Adds ``x``, the STATISTICS of the whole text; null counts as empty, whose shares are 0."""
     common = sorted({w + e for words in COMMON_WORDS.values() for w in words for e in ("", ",", ".")})
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    df = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     df = df.withColumn("_w", F.array_remove(F.split("_t", f"[{WHITE}]+"), ""))
     df = df.withColumn("_rest", F.regexp_replace("_t", "[a-zß-öø-ÿ]+", ""))
     df = df.withColumn("_lines", F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(f"[^{WHITE}]")))
@@ -46,7 +47,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         share(F.filter("_w", lambda w: w.endswith("!"))), 1 - F.size(F.array_distinct("_lines")) / F.greatest(F.size("_lines"), F.lit(1)),
         F.log1p(words / F.greatest(F.size("_lines"), F.lit(1))), share(F.filter("_w", lambda w: F.length(w) > 18)),
     ]
-    return df.select("doc_id", F.array(*[c.cast("double") for c in x]).alias("x"))
+    return df.withColumn("x", F.array(*[c.cast("double") for c in x])).drop("_t", "_w", "_rest", "_lines", "_n", "_c", "_space", "_marks")
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +89,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=float).reshape(-1, width)
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, sample: int = SAMPLE) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, sample: int = SAMPLE) -> Classifier:
     """Fit on about ``sample`` labelled rows that are not held out. Without any label every score is 0.5."""
     d = len(STATISTICS)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int")
-    rows = materialize(training_rows(stats, labels, label, modulus, held_out, sample).select("x", "label", fold.alias("fold")).repartition(8), "quality-training")
+    labelled = training_rows(docs.select("doc_id", "text"), labels, label, modulus, held_out, sample)
+    rows = materialize(statistics(labelled).select("x", "label", fold.alias("fold")).repartition(8), "quality-training")
     moments = rows.select(*[f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     center = np.array([moments[f"m{i}"] or 0.0 for i in range(d)])
     scale = np.array([moments[f"s{i}"] or 0.0 for i in range(d)])
@@ -121,27 +123,26 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality", modulus:
     return model
 
 
-def score(stats: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id and score of every row."""
-    d, shared = len(STATISTICS), stats.sparkSession.sparkContext.broadcast(model)
+def score_column(model: Classifier, x: str = "x") -> Column:
+    """Scores of a column of statistics."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(_matrix(batch.column("x"), d)))], names=["doc_id", "score"])
+    @F.pandas_udf("double")
+    def scores(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack(x)) if len(x) else [], dtype=float)
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return scores(x)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, held-out rows being those that no fit sees.
 
-    The statistics are written once; fitting and scoring read them, not the texts. Null and empty
-    texts score as texts without words; repeated rows score alike; labels without a document,
-    null labels and documents without a label are allowed.
+    One map-side pass over all texts follows the fit. Null and empty texts score as texts without
+    words; repeated rows score alike; labels without a document, null labels and documents
+    without a label are allowed.
     """
-    stats = materialize(statistics(docs), "quality-statistics")
-    model = train(stats, labels)
-    return score(stats, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = train(docs, labels)
+    scored = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("score", score_column(model))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, materialize, table
@@ -51,14 +51,14 @@ class Lexicon:
         self.heads = {u[:3] for u in self.bank}
 
     def hits(self, text: str | None) -> tuple[np.ndarray, int, int]:
-        """Hits by bank, kinds of hits, words; a word counts once, for its longest entry."""
+        """Hits by bank, distinct words hit, words; a word counts for its longest entry."""
         words = _WORD.findall((text or "").lower())
         counts, kinds = np.zeros(BANKS), set()
         for w in [w for w in words if w[:3] in self.heads]:
             for u in (w, *(w[:k] + "*" for k in reversed(STEMS) if len(w) > k)):
                 if u in self.bank:
                     counts[self.bank[u]] += 1
-                    kinds.add(u)
+                    kinds.add(w)
                     break
         return counts, len(kinds), len(words)
 
@@ -164,16 +164,17 @@ def _arrays(frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack(frame["counts"]) if len(frame) else np.zeros((0, BANKS)), frame["kinds"].to_numpy(dtype=float), frame["words"].to_numpy(dtype=float)
 
 
-def hit_table(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, hits by bank, kinds and words of every whole text."""
+def hit_table(docs: DataFrame, lexicon: Lexicon, *beside: str) -> DataFrame:
+    """doc_id, hits by bank, kinds and words of every whole text, and the integer columns ``beside``."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.hits(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.tolist() for c, _, _ in found], pa.list_(pa.float64())), pa.array([k for _, k, _ in found], pa.int64()), pa.array([w for _, _, w in found], pa.int64())], names=["doc_id", "counts", "kinds", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.tolist() for c, _, _ in found], pa.list_(pa.float64())), pa.array([k for _, k, _ in found], pa.int64()), pa.array([w for _, _, w in found], pa.int64()), *[batch.column(c) for c in beside]], names=["doc_id", "counts", "kinds", "words", *beside])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, counts array<double>, kinds long, words long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *beside)
+    return rows.mapInArrow(run, "doc_id long, counts array<double>, kinds long, words long" + "".join(f", {c} int" for c in beside))
 
 
 def agreement(hits: DataFrame) -> tuple[np.ndarray, float]:
@@ -192,46 +193,73 @@ def agreement(hits: DataFrame) -> tuple[np.ndarray, float]:
     return flat[:-1].reshape(VOTERS, VOTERS), float(flat[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row.
+@dataclass
+class Detector:
+    lexicon: Lexicon
+    weights: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
-    One pass over all texts for the hits, written once; voter agreement is over all rows. The
-    lexicon, the linear classifier and the calibration are fitted on bounded hashed samples.
-    Null and empty texts have no hits and score as such; repeated rows score alike. Without
-    toxic labels the lexicon is empty and every score is low.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    def scores(self, counts: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> np.ndarray:
+        x = Lexicon.features(counts, kinds, words)
+        raw = np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -15, 15)
+        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
+
+    def score_texts(self, texts: list[str | None]) -> np.ndarray:
+        found = [self.lexicon.hits(x) for x in texts]
+        if not found:
+            return np.zeros(0)
+        return self.scores(np.stack([c for c, _, _ in found]), np.array([k for _, k, _ in found], dtype=float), np.array([w for _, _, w in found], dtype=float))
+
+
+def fit(rows: DataFrame, labels: DataFrame) -> tuple[Detector, DataFrame]:
+    """The detector, and the table of hits of all rows, from which voters' agreement was taken."""
     labelled = materialize(training_rows(rows, labels, "toxic", 5, 0, SAMPLE).repartition(16), "toxic-training")
     lexicon = mine(labelled)
     hits = materialize(hit_table(rows, lexicon), "toxic-hits")
     second, n = agreement(hits)
-    known = hit_table(labelled.select("doc_id", "text"), lexicon).toPandas()
-    truth = labelled.select("doc_id", "label").groupBy("doc_id").agg(F.max("label").alias("label")).toPandas().set_index("doc_id")["label"]
-    y = truth.reindex(known["doc_id"]).fillna(0).to_numpy(dtype=float)
+    known = hit_table(labelled, lexicon, "label").toPandas()
+    y = known["label"].to_numpy(dtype=float)
     prior = float(np.clip((y.sum() + 1) / (len(y) + 10), 0.01, 0.5))
     model = label_model(second, n, prior)
     of = max(1, int(n) // POSTERIORS)
     some = hits.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(of)) == 0).select("counts", "kinds", "words").toPandas()
-    weights = np.zeros(Lexicon.features(*_arrays(known[:0])).shape[1] + 1)
-    slope, shift = 1.0, 0.0
+    detector = Detector(lexicon, np.zeros(Lexicon.features(*_arrays(known[:0])).shape[1] + 1))
     if len(some):
-        weights = _logistic(Lexicon.features(*_arrays(some)), model.posterior(Lexicon.votes(*_arrays(some))), ridge=1.0)
+        detector.weights = _logistic(Lexicon.features(*_arrays(some)), model.posterior(Lexicon.votes(*_arrays(some))), ridge=1.0)
     if len(known) and 0 < y.sum() < len(y):
-        raw = np.clip(np.column_stack([Lexicon.features(*_arrays(known)), np.ones(len(known))]) @ weights, -15, 15)
-        slope, shift = _logistic(raw[:, None], y)
-    shared = spark.sparkContext.broadcast((weights, float(slope), float(shift)))
+        raw = np.clip(np.column_stack([Lexicon.features(*_arrays(known)), np.ones(len(known))]) @ detector.weights, -15, 15)
+        detector.slope, detector.shift = map(float, _logistic(raw[:, None], y))
+    return detector, hits
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row.
+
+    One pass over all texts for the hits, written once; voter agreement is over all rows. The
+    lexicon, the linear classifier and the calibration are fitted on bounded hashed samples.
+    Null and empty texts have no hits and score as such; repeated rows score alike. Without
+    toxic labels the lexicon is empty and every score is low.
+    """
+    detector, hits = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, a, b = shared.value
         for frame in batches:
-            x = Lexicon.features(*_arrays(frame))
-            raw = np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -15, 15)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": detector.scores(*_arrays(frame))})
 
     out = hits.mapInPandas(run, "doc_id long, score double")
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def score_column(detector: Detector, text: str = "text") -> Column:
+    """Scores of a column of texts."""
+
+    @F.pandas_udf("double")
+    def scores(text: pd.Series) -> pd.Series:
+        return pd.Series(detector.score_texts(list(text)), dtype=float)
+
+    return scores(text)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
