@@ -35,33 +35,66 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The character that byte-level models write for each byte: itself if printable, else one from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordIds:
-    """Ids of a white-space-dropping BPE as little-endian unsigned 32-bit bytes."""
+    """Ids of a lower-casing, white-space-dropping BPE as little-endian unsigned 32-bit bytes.
+
+    Words are cached whole. A new word of Latin letters and closing marks is put together from
+    its letters and its marks, which the model takes as pre-tokens of their own; all other words
+    go through the library's whole pipeline.
+    """
+
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ʯ]+)([.,;:!?]*)")
 
     def __init__(self, name: str = WORD_BPE):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(vocabulary(name))
+        self.tokenizer = Tokenizer.from_file(vocabulary(name))
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.model.encode(text, add_special_tokens=False).ids)
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            if len(self.parts) >= CACHE:
+                self.parts = {"": b""}
+            self.parts[part] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        plain = self.PLAIN.fullmatch(word)
+        if plain:
+            letters = plain[1].lower()
+            if len(letters) == len(plain[1]):  # one letter becomes two under lower()
+                return self.part(letters) + self.part(plain[2])
+        return self.whole(word)
 
     def __call__(self, text: str) -> bytes:
         if _ODD.search(text):
             return self.whole(text)
-        words = text.split()
-        known = self.known
+        words, known = text.split(), self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        missing = list({w for w in words if w not in known})
-        if len(known) + len(missing) > CACHE:
+        if len(known) >= 2 * CACHE:
             known.clear()
-            missing = list(set(words))
-        for w, e in zip(missing, self.model.encode_batch(missing, add_special_tokens=False), strict=True):
-            known[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        for w in words:
+            if w not in known:
+                known[w] = self.word(w)
         return b"".join([known[w] for w in words])
 
 
