@@ -6,6 +6,7 @@ from .divergence import op2_quality_divergence
 from .fingerprint import op1_merkle_fingerprint
 from .jaccard import op10_jaccard_join
 from .language import op3_language_spans
+from .mixing import op7_pfair_mix
 from .packing import op4_best_fit_packing
 from .quality import op8_quality_classifier
 from .sharding import op5_kd_shards
@@ -16,7 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_merkle_fingerprint, op2_quality_divergence, op3_language_spans, op4_best_fit_packing, op5_kd_shards,
-        op6_token_counts, op8_quality_classifier, op9_toxicity, op10_jaccard_join,
+        op6_token_counts, op7_pfair_mix, op8_quality_classifier, op9_toxicity, op10_jaccard_join,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
