@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import queries
+
+QUERIES = queries.QUERIES
+ORACLE_SQL = queries.SQL

@@ -68,17 +68,19 @@ CNPJ_WEIGHTS = ([5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2], [6, 5, 4, 3, 2, 9, 8, 7, 6
 
 def cnpj_valid(x: Any) -> Column:
     """14 digits, not all alike, with both modulo-11 check digits right; null is false."""
-    d = digits(x)
-    good = ~d.rlike(r"^(\d)\1{13}$")
-    for n, weights in zip((13, 14), CNPJ_WEIGHTS, strict=True):
-        good = good & (_check_digit(_weighted(d, weights)) == F.substring(d, n, 1).cast("int"))
-    return F.when(F.length(d) == 14, good).otherwise(False)
+    def test(d: Column) -> Column:
+        good = ~d.rlike(r"^(\d)\1{13}$")
+        for n, weights in zip((13, 14), CNPJ_WEIGHTS, strict=True):
+            good = good & (let(_weighted(d, weights), _check_digit) == F.substring(d, n, 1).cast("int"))
+        return F.when(F.length(d) == 14, good).otherwise(False)
+
+    return let(digits(x), test)
 
 
 def cnpj_with_check_digits(base12: Any) -> Column:
     """Twelve digits and the two check digits that they ask for."""
-    first = F.concat(_c(base12), _check_digit(_weighted(_c(base12), CNPJ_WEIGHTS[0])).cast("string"))
-    return F.concat(first, _check_digit(_weighted(first, CNPJ_WEIGHTS[1])).cast("string"))
+    digit = lambda weights: lambda b: F.concat(b, let(_weighted(b, weights), _check_digit).cast("string"))
+    return let(let(_c(base12), digit(CNPJ_WEIGHTS[0])), digit(CNPJ_WEIGHTS[1]))
 
 
 def normalize_cnpj(x: Any) -> Column:
@@ -87,7 +89,7 @@ def normalize_cnpj(x: Any) -> Column:
     core = F.regexp_replace(text, r"[.\-/\s]", "")
     found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2})"), F.lit(1)), lambda t: F.regexp_replace(t, r"\D", "")))
     value = F.when(core.rlike(r"^\d{14}$"), core).when(F.size(found) == 1, F.get(found, F.lit(0)))
-    return F.struct(value.alias("value"), cnpj_valid(value).alias("valid"))
+    return let(value, lambda v: F.struct(v.alias("value"), cnpj_valid(v).alias("valid")))
 
 
 def format_cnpj(x: Any) -> Column:
@@ -96,13 +98,15 @@ def format_cnpj(x: Any) -> Column:
 
 def key_check_digit(first43: Any) -> Column:
     """Check digit of an access key: weights 2 to 9 from the right, over and over."""
-    return _check_digit(_weighted(_c(first43), [2 + (42 - i) % 8 for i in range(43)]))
+    return let(let(_c(first43), lambda b: _weighted(b, [2 + (42 - i) % 8 for i in range(43)])), _check_digit)
 
 
 def access_key_valid(x: Any) -> Column:
-    d = digits(x)
-    good = ~d.rlike(r"^(\d)\1{43}$") & (key_check_digit(F.substring(d, 1, 43)) == F.substring(d, 44, 1).cast("int"))
-    return F.when(F.length(d) == 44, good).otherwise(False)
+    def test(d: Column) -> Column:
+        good = ~d.rlike(r"^(\d)\1{43}$") & (key_check_digit(F.substring(d, 1, 43)) == F.substring(d, 44, 1).cast("int"))
+        return F.when(F.length(d) == 44, good).otherwise(False)
+
+    return let(digits(x), test)
 
 
 def normalize_access_key(x: Any) -> Column:
@@ -244,9 +248,8 @@ PAYMENT_WORDS_READ = (
 
 def payment_form(x: Any) -> Column:
     """Payment form that a free text names, outro if none, null if the text is blank."""
-    text = F.lower(strip_accents(clean_spaces(x)))
-    named = F.coalesce(*[F.when(text.rlike(p), F.lit(form)) for form, p in PAYMENT_WORDS], F.lit("outro"))
-    return F.when(text != "", named)
+    named = lambda t: F.when(t != "", F.coalesce(*[F.when(t.rlike(p), F.lit(form)) for form, p in PAYMENT_WORDS], F.lit("outro")))
+    return let(F.lower(strip_accents(clean_spaces(x))), named)
 
 
 def ocr_pattern(pattern: str) -> str:
