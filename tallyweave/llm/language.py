@@ -93,7 +93,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     16 tasks at most. No usable row gives a model without languages.
     """
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    of = max(1, usable.count() // sample)
+    of = max(1, -(-usable.count() // sample))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}

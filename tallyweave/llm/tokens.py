@@ -169,7 +169,7 @@ def frequent_lengths(docs: DataFrame, model: str = PIECE_BPE) -> dict[str, int]:
     This table only saves work: results are the same with any table, or none. The sample's
     partitions send their own top lists, so the driver gets SAMPLE lists at most.
     """
-    of = max(1, docs.count() // SAMPLE)
+    of = max(1, -(-docs.count() // SAMPLE))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0).select("text")
     found: Counter = Counter()
     for row in sample.mapInArrow(_frequent_part, "unit array<string>, n array<long>").toLocalIterator():

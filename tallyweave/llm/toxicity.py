@@ -222,10 +222,12 @@ def fit(rows: DataFrame, labels: DataFrame) -> tuple[Detector, DataFrame]:
     y = known["label"].to_numpy(dtype=float)
     prior = float(np.clip((y.sum() + 1) / (len(y) + 10), 0.01, 0.5))
     model = label_model(second, n, prior)
-    of = max(1, int(n) // POSTERIORS)
+    of = max(1, -(-int(n) // POSTERIORS))
     some = hits.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(of)) == 0).select("counts", "kinds", "words").toPandas()
     detector = Detector(lexicon, np.zeros(Lexicon.features(*_arrays(known[:0])).shape[1] + 1))
-    if len(some):
+    if not len(some):
+        detector.shift = model.prior
+    else:
         detector.weights = _logistic(Lexicon.features(*_arrays(some)), model.posterior(Lexicon.votes(*_arrays(some))), ridge=1.0)
     if len(known) and 0 < y.sum() < len(y):
         raw = np.clip(np.column_stack([Lexicon.features(*_arrays(known)), np.ones(len(known))]) @ detector.weights, -15, 15)
