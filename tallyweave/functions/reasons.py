@@ -34,3 +34,14 @@ LEAST_CENTS, MOST_CENTS = 1, 1_000_000_000
 def reason_table(spark: SparkSession) -> DataFrame:
     """Fifteen rows: reason, field, risk, description."""
     return spark.createDataFrame([*REASONS], "reason string, field string, risk string, description string")
+
+
+def detail(reason, total_cents, items_cents, difference_cents):
+    """What the queue says about a reason on one document: the numbers where they explain it."""
+    from pyspark.sql import functions as F
+
+    from .scalars import brl_label
+
+    sums = F.concat(F.lit("total "), brl_label(total_cents), F.lit(", items "), brl_label(items_cents), F.lit(", difference "), brl_label(difference_cents))
+    known = F.create_map(*[F.lit(x) for code, _, _, text in REASONS for x in (code, text)])
+    return F.when(reason.isin("divergencia_soma_itens", "suspeita_soma_itens"), sums).otherwise(F.coalesce(F.try_element_at(known, reason), reason))
