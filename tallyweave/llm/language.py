@@ -90,7 +90,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Count n-grams by language over a hashed sample of about ``sample`` rows with text and lang.
 
     Tasks send one array of BUCKETS counts for each language and the letters by script; there are
-    16 tasks at most. No usable row gives a model without languages.
+    four tasks. No usable row gives a model without languages.
     """
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     of = max(1, -(-usable.count() // sample))
@@ -108,13 +108,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 buckets, owner, script = _grams(names)
                 np.add.at(counts, buckets, times[owner])
                 np.add.at(scripts, script, times)
-            yield pd.DataFrame({"lang": [lang], "counts": [counts.tobytes()], "scripts": [scripts.tobytes()]})
+            yield pd.DataFrame({"lang": [lang], "counts": [counts.astype(np.int32).tobytes()], "scripts": [scripts.tobytes()]})
 
-    parts = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(of)) == 0).select("lang", "text").repartition(16)
+    parts = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(of)) == 0).select("lang", "text").repartition(4)
     counts: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
-    for row in parts.mapInPandas(count, "lang string, counts binary, scripts binary").toLocalIterator():
-        counts[row.lang] = counts.get(row.lang, 0) + np.frombuffer(row.counts, dtype=np.int64)
+    for row in parts.mapInPandas(count, "lang string, counts binary, scripts binary").collect():
+        counts[row.lang] = counts.get(row.lang, 0) + np.frombuffer(row.counts, dtype=np.int32).astype(np.int64)
         scripts[row.lang] = scripts.get(row.lang, 0) + np.frombuffer(row.scripts, dtype=np.int64)
     languages = sorted(counts)
     if not languages:

@@ -166,13 +166,13 @@ def _frequent_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def frequent_lengths(docs: DataFrame, model: str = PIECE_BPE) -> dict[str, int]:
     """Token counts of the pre-tokens most frequent in a hashed sample of about SAMPLE documents.
 
-    This table only saves work: results are the same with any table, or none. The sample's
-    partitions send their own top lists, so the driver gets SAMPLE lists at most.
+    This table only saves work: results are the same with any table, or none. Tasks that hold a
+    document of the sample send one list of their own, so what is sent is bounded by the sample.
     """
     of = max(1, -(-docs.count() // SAMPLE))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0).select("text")
     found: Counter = Counter()
-    for row in sample.mapInArrow(_frequent_part, "unit array<string>, n array<long>").toLocalIterator():
+    for row in sample.mapInArrow(_frequent_part, "unit array<string>, n array<long>").collect():
         found.update(dict(zip(row.unit, row.n, strict=True)))
     counts = PieceCounts(model)
     return {unit: counts.one(unit) for unit, n in found.most_common(FREQUENT) if n > 1}
