@@ -6,8 +6,8 @@ shingles frequent in a sample come last in the order, which keeps groups small.
 meet are joined by a signature tree: nodes hold OR-combined bitmaps and size ranges, and a dual
 traversal drops node pairs whose sets must differ by more than the threshold allows. What
 survives is checked on whole sets. Only connected groups are wanted, so pairs already in one
-component are skipped: a first round links neighbours by size at the first tokens, the second
-joins what is still apart.
+component are skipped: first rounds link neighbours by size at the first tokens, then neighbouring
+components there; the trees join what is still apart.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 from .common import documents, materialize, worker_cache
@@ -26,15 +27,21 @@ from .components import components
 
 WORDS = 3  # in a shingle
 PERCENT = 90
-BITS = 2048  # of every set's bitmap; sets over WIDE shingles have one of 4 bits a shingle besides
-WIDE = 1200
+BITS = 1024  # of every set's bitmap and parities; sets over WIDE shingles have wider parities besides
+WIDE = 2000
 LEAF, FANOUT = 32, 8
-#: Documents whose shingles show which are frequent, and how many of those documents must hold one.
-SAMPLE, FREQUENT = 6000, 4
-#: Tokens from the start of the order at which the first round links neighbours.
+#: One document of so many, but SAMPLE at least, shows which shingles are frequent: those that FREQUENT
+#: documents of the sample hold. As the sample grows with the corpus, other shingles stay in few documents.
+SHARE, SAMPLE, FREQUENT = 40, 6000, 4
+#: A set's first tokens among those it shares, at which the first rounds link neighbours; rows carry
+#: them, so a pair that meets at one of them is looked at there only.
 NEAR = 4
+#: Sets that meet at one token up to which they are joined in one task; beyond it they are parted by size.
+TOGETHER = 256
 #: Ids up to which the list of candidates is broadcast; beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
+#: Rounds that link neighbouring components before the trees; more or fewer change the work only.
+BRIDGES = 4
 _CHUNK = 100_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -46,7 +53,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     if not parts:
         return np.zeros(0, dtype=np.uint64)
     known: dict[bytes, int] = worker_cache("word hashes", dict)
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     hashes = []
     for w in parts:
@@ -66,19 +73,29 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed)
 
 
-def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+def bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Bits that some token hits: nodes of a tree combine them by OR."""
     out = np.zeros(bits // 64, dtype=np.uint64)
     at = tokens % np.uint64(bits)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
+def parities(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Bits that an odd number of tokens hit: two sets differ in as many elements at least as their parities in bits."""
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    at = tokens % np.uint64(bits)
+    np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _fold(wide: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_or.reduce(wide.reshape(-1, bits // 64), axis=0)
+    """Parities of fewer bits, a power of two too."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, bits // 64), axis=0)
 
 
 def _wide_bits(n: int) -> int:
-    return max(BITS, 1 << int(4 * n - 1).bit_length())
+    return max(BITS, 1 << int(n // 2).bit_length())
 
 
 def needed(n: np.ndarray | int, percent: int = PERCENT):
@@ -92,9 +109,9 @@ def differ_at_most(a, b, percent: int = PERCENT):
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes of shingles that at least FREQUENT of about SAMPLE documents hold. They only order
-    tokens, so any list gives the same result; its size is bounded by the sample's."""
-    of = max(1, docs.count() // SAMPLE)
+    """Hashes of the most frequent shingles of a sample, 200,000 at most. They only order tokens, so
+    any list gives the same result."""
+    of = max(1, min(SHARE, docs.count() // SAMPLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,77 +136,70 @@ def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, h1 and h2 (128 bits of the set), prefix tokens and bitmaps of every row."""
+    """doc_id, n, h1 and h2 (128 bits of the set), prefix tokens, bitmap and parities of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
-    names = ["doc_id", "n", "h1", "h2", "prefix", "small", "wide"]
+    names = ["doc_id", "n", "h1", "h2", "prefix", "bits", "odd", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 for text in batch.column("text"):
                     tokens = shingles(text.as_py(), words)
                     n = len(tokens)
                     digest = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64)
                     prefix = _ordered(tokens, shared.value)[: n - int(needed(n, percent)) + 1] if n else tokens
-                    wide = bitmap(tokens, _wide_bits(n)) if n > WIDE else None
-                    small = bitmap(tokens, BITS) if wide is None else _fold(wide, BITS)
-                    for column, x in zip(out, (n, int(digest[0]), int(digest[1]), prefix.view(np.int64), small.tobytes(), None if wide is None else wide.tobytes()), strict=True):
+                    wide = parities(tokens, _wide_bits(n)).tobytes() if n > WIDE else None
+                    for column, x in zip(out, (n, int(digest[0]), int(digest[1]), prefix.view(np.int64), bitmap(tokens).tobytes(), parities(tokens).tobytes(), wide), strict=True):
                         column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, small binary, wide binary")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits binary, odd binary, wide binary")
 
 
-def _size_class(n):
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+def _size_class(n, percent: int):
+    """Sets that link are of one class or of neighbouring ones; classes are a little wide for safe rounding."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
 
 
 def _meetings(tokens: DataFrame, percent: int) -> DataFrame:
-    """From (token, rep, n, pos): kind 0, the rows whose token two sets share; kind 1, pairs (token, rep)
-    of neighbours by size, and of each with the smallest of its run, at the first NEAR tokens."""
-    names = ["kind", "token", "rep", "n", "pos"]
+    """Of (token, rep, n, pos), rows whose token a set of like size shares, which the next smaller or
+    larger one shows, with their ``rank`` from 0 among the rows of their set that remain."""
+    names = ["token", "rep", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None  # the last row, whose successor is not known yet
-        joined = False  # whether it shares its token with the row before
-        pivot: tuple[int, int] | None = None
+        alike = False  # whether the row before it has its token and a like size
         for batch in batches:
-            rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in names[1:]])
+            rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
             if not len(rows):
                 continue
             if held is not None:
                 rows = np.vstack([held, rows])
-            same = rows[1:, 0] == rows[:-1, 0]
-            before = np.concatenate([[joined], same])
-            keep = before[:-1] | same
-            near = (rows[1:, 3] < NEAR) & (rows[:-1, 3] < NEAR) & same
-            pairs = [np.column_stack([rows[:-1, 1][near], rows[1:, 1][near], rows[:-1, 2][near], rows[1:, 2][near]])]
-            first = np.flatnonzero(~before)
-            start = np.zeros(len(rows), dtype=np.int64)
-            start[first] = first
-            start = np.maximum.accumulate(start)
-            pivots = rows[start][:, 1:3]
-            if joined and pivot is not None:
-                pivots[start == 0] = pivot
-            far = before & (rows[:, 3] < NEAR)
-            far[0] = False
-            pairs.append(np.column_stack([pivots[far, 0], rows[far, 1], pivots[far, 1], rows[far, 2]]))
-            pairs_ = np.vstack(pairs)
-            a, b, na, nb = pairs_.T
-            pairs_ = pairs_[(a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))][:, :2]
-            pairs_ = np.unique(np.sort(pairs_, axis=1), axis=0)
-            kept = rows[:-1][keep]
-            out = np.vstack([np.column_stack([np.zeros(len(kept), dtype=np.int64), kept]), np.column_stack([np.ones(len(pairs_), dtype=np.int64), pairs_, np.zeros((len(pairs_), 2), dtype=np.int64)])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=names)
-            held, joined, pivot = rows[-1:], bool(before[-1]), tuple(pivots[-1])
-        if held is not None and joined:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), *[pa.array([int(x)]) for x in held[0]]], names=names)
+            like = (rows[1:, 0] == rows[:-1, 0]) & (100 * rows[:-1, 2] >= percent * rows[1:, 2])
+            before = np.concatenate([[alike], like])
+            kept = rows[:-1][before[:-1] | like]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in kept.T], names=names)
+            held, alike = rows[-1:], bool(before[-1])
+        if held is not None and alike:
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in held[0]], names=names)
 
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tokens.repartition(n, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(run, "kind long, token long, rep long, n long, pos long")
+    met = tokens.repartition(n, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(run, "token long, rep long, n long, pos long")
+    return met.withColumn("rank", (F.row_number().over(Window.partitionBy("rep").orderBy("pos")) - 1).cast("long"))  # a set's prefix at most
+
+
+def _bridges(met: DataFrame, parts: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs (a, b), one member each of components that are neighbours at one of the first tokens,
+    in a new order of members and components for every ``seed``."""
+    rows = met.filter(F.col("rank") < NEAR).join(parts, F.col("rep") == F.col("node"), "left")
+    one = rows.groupBy("token", F.coalesce("component", "rep").alias("comp")).agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(seed))).alias("r"))
+    order = Window.partitionBy("token").orderBy(_size_class(F.col("r.n"), percent), F.xxhash64("comp", F.lit(seed)))
+    pairs = one.select("r", F.lag("r").over(order).alias("p")).filter("p IS NOT NULL")
+    alike = 100 * F.least("r.n", "p.n") >= percent * F.greatest("r.n", "p.n")
+    return pairs.filter(alike & (F.col("r.rep") != F.col("p.rep"))).select(F.least("r.rep", "p.rep").alias("a"), F.greatest("r.rep", "p.rep").alias("b")).distinct()
 
 
 def tree_pairs(bitmaps: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -231,9 +241,9 @@ def tree_pairs(bitmaps: np.ndarray, sizes: np.ndarray, group: np.ndarray, percen
     return pairs
 
 
-def _apart(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, wide: list, percent: int) -> Iterator[np.ndarray]:
+def _apart(rows: dict[str, np.ndarray], wide: list, starts: np.ndarray, ends: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """Pairs of row numbers, within the given runs, that may link and are in different components."""
-    bitmaps, n, comp, own, pos, rep = (rows[c] for c in ("small", "n", "comp", "own", "pos", "rep"))
+    bitmaps, odd, head, n, comp, own, pos, rank, rep = (rows[c] for c in ("bits", "odd", "head", "n", "comp", "own", "pos", "rank", "rep"))
     blocks: list[np.ndarray] = []
     length = ends - starts
     little = length <= LEAF
@@ -261,27 +271,29 @@ def _apart(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, wi
         x, y = x[good], y[good]
         if not len(x):
             continue
-        bx, by = bitmaps[x], bitmaps[y]
-        differ = np.bitwise_count(bx ^ by).sum(axis=1)
-        good = differ <= differ_at_most(n[x], n[y], percent)
-        x, y = x[good], y[good]
-        long = np.flatnonzero((n[x] > WIDE) & (n[y] > WIDE))
-        good = np.ones(len(x), dtype=bool)
-        for k in long:
+        met = np.zeros(len(x), dtype=bool)  # at a token before this one; 0 stands for no token
+        for k in range(NEAR):
+            at_x = head[x, k]
+            met |= (at_x != 0) & (k < rank[x]) & (head[y] == at_x[:, None]).any(axis=1)
+        x, y = x[~met], y[~met]
+        most = differ_at_most(n[x], n[y], percent)
+        good = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1) <= most
+        for k in np.flatnonzero(good & (n[x] > WIDE) & (n[y] > WIDE)):  # few: parities of BITS bits say little of such sets
             u, v = np.frombuffer(wide[x[k]], dtype=np.uint64), np.frombuffer(wide[y[k]], dtype=np.uint64)
             bits = 64 * min(len(u), len(v))
-            good[k] = np.bitwise_count(_fold(u, bits) ^ _fold(v, bits)).sum() <= differ_at_most(n[x[k]], n[y[k]], percent)
-        yield np.column_stack([rep[x[good]], rep[y[good]]])
+            good[k] = np.bitwise_count(_fold(u, bits) ^ _fold(v, bits)).sum() <= most[k]
+        x, y = x[good], y[good]
+        yield np.column_stack([rep[x], rep[y]])
 
 
 def _tree_candidates(meetings: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) from (token, class, own, rep, n, pos, comp, small, wide) rows."""
-    names = ("token", "class", "own", "rep", "n", "pos", "comp")
+    """Distinct pairs (a, b) from (token, class, own, rep, n, pos, rank, comp, bits, odd, wide, head) rows."""
+    names = ("token", "class", "own", "rep", "n", "pos", "rank", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def work(table: pa.Table, last: bool) -> tuple[pa.Table | None, list[np.ndarray]]:
+        def work(table: pa.Table, last: bool) -> tuple[pa.Table | None, Iterator[np.ndarray]]:
             token, kind = table["token"].to_numpy(), table["class"].to_numpy()
             edge = np.flatnonzero((token[1:] != token[:-1]) | (kind[1:] != kind[:-1])) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(token)]])
@@ -292,15 +304,18 @@ def _tree_candidates(meetings: DataFrame, percent: int) -> DataFrame:
             several = ends - starts > 1
             starts, ends = starts[several], ends[several]
             if not len(starts):
-                return rest, []
+                return rest, iter(())
             rows = {c: table[c].to_numpy() for c in names}
-            rows["small"] = np.frombuffer(b"".join(table["small"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-            return rest, [x for x in _apart(rows, starts, ends, table["wide"].to_pylist(), percent) if len(x)]
+            for c in ("bits", "odd"):
+                rows[c] = np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+            rows["head"] = np.asarray(table["head"].combine_chunks().flatten()).reshape(-1, NEAR)
+            return rest, _apart(rows, table["wide"].to_pylist(), starts, ends, percent)
 
-        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found:
-                pairs = np.unique(np.sort(np.vstack(found), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        def out(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for part in found:
+                if len(part):
+                    pairs = np.unique(np.sort(part, axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -317,8 +332,8 @@ def _tree_candidates(meetings: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefilter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose bitmaps let them link."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("small").alias(f"s{c}"), F.col("wide").alias(f"w{c}"))
+    """Pairs (a, b) whose parities let them link."""
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"s{c}"), F.col("wide").alias(f"w{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,23 +400,33 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     signed = materialize(signatures(rows, words, percent), "signatures")
     slim = signed.select("doc_id", "n", "h1", "h2")
     firsts = materialize(slim.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "representatives")
-    reps = signed.join(firsts, ["h1", "h2"]).filter(F.col("doc_id") == F.col("rep")).select("rep", "n", "prefix", "small", "wide").dropDuplicates(["rep"])
+    reps = signed.join(firsts, ["h1", "h2"]).filter(F.col("doc_id") == F.col("rep")).select("rep", "n", "prefix", "bits", "odd", "wide")
+    if not slim.groupBy("doc_id", "h1", "h2").count().filter("count > 1").isEmpty():  # rows repeat whole
+        reps = reps.dropDuplicates(["rep"])
     reps = materialize(reps, "sets")
     tokens = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", F.col("pos").cast("long").alias("pos"))
     met = materialize(_meetings(tokens, percent), "meetings")
 
-    first = met.filter("kind = 1").select(F.col("token").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(verify(_prefilter(first, reps, percent), rows, words, percent), "links")
-    parts = materialize(components(links), "components")
+    parts = rows.sparkSession.createDataFrame([], "node long, component long")
+    for seed in range(BRIDGES):
+        more = materialize(verify(_prefilter(_bridges(met, parts, percent, seed), reps, percent), rows, words, percent), "links")
+        if more.isEmpty():
+            break
+        parts = materialize(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
     comp = F.coalesce("component", "rep").alias("comp")
-    labelled = met.filter("kind = 0").drop("kind").join(parts, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", comp)
-    open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    labelled = labelled.join(open_, "token", "left_semi").join(reps.select("rep", "small", "wide"), "rep")
-    places = F.explode(F.array(F.struct(_size_class(F.col("n")).alias("class"), F.lit(True).alias("own")), F.struct((_size_class(F.col("n")) + 1).alias("class"), F.lit(False).alias("own"))))
-    dealt = labelled.withColumn("_p", places).select("token", "_p.class", "_p.own", "rep", "n", "pos", "comp", "small", "wide")
-    second = verify(_tree_candidates(dealt, percent), rows, words, percent)
-    parts = components(links.union(second))
+    labelled = met.join(parts, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", "rank", comp)
+    heads = met.filter(F.col("rank") < NEAR).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("h"))
+    heads = heads.select("rep", F.transform(F.sequence(F.lit(0), F.lit(NEAR - 1)), lambda i: F.coalesce(F.get("h", i)["token"], F.lit(0))).alias("head"))
+    open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo < hi").select("token", (F.col("many") > TOGETHER).alias("many"))
+    size = _size_class(F.col("n"), percent)
+    labelled = labelled.join(open_, "token").join(reps.select("rep", "bits", "odd", "wide"), "rep").join(heads, "rep")
+    here = lambda c, own: F.struct(c.alias("class"), F.lit(own).alias("own"))
+    places = F.when(F.col("many"), F.array(here(size, True), here(size + 1, False))).otherwise(F.array(here(F.lit(0), True)))
+    dealt = labelled.withColumn("_p", F.explode(places)).select("token", "_p.class", "_p.own", "rep", "n", "pos", "rank", "comp", "bits", "odd", "wide", "head")
+    second = verify(_prefilter(_tree_candidates(dealt, percent), reps, percent), rows, words, percent)
+    known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = components(known.union(second))
 
     of_set = firsts.join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     full = slim.filter("n > 0").join(of_set, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
