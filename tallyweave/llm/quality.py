@@ -47,7 +47,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         share(F.filter("_w", lambda w: w.endswith("!"))), 1 - F.size(F.array_distinct("_lines")) / F.greatest(F.size("_lines"), F.lit(1)),
         F.log1p(words / F.greatest(F.size("_lines"), F.lit(1))), share(F.filter("_w", lambda w: F.length(w) > 18)),
     ]
-    return df.withColumn("x", F.array(*[c.cast("double") for c in x])).drop("_t", "_w", "_rest", "_lines", "_n", "_c", "_space", "_marks")
+    # A condition on a row number, always true, keeps the optimizer from writing all of this, with
+    # its shared parts many times over, into the arguments of whatever reads x.
+    array = F.when(F.monotonically_increasing_id() >= 0, F.array(*[c.cast("double") for c in x]))
+    return df.withColumn("x", array).drop("_t", "_w", "_rest", "_lines", "_n", "_c", "_space", "_marks")
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()]), pa.array([right.tobytes()])], names=["gram", "right"])
 
     gram, right = np.zeros((FEATURES + d + 1,) * 2), np.zeros(FEATURES + d + 1)
-    for part in rows.filter(F.col("fold") != CALIBRATION).select("x", "label").mapInArrow(sums, "gram binary, right binary").toLocalIterator():
+    for part in rows.filter(F.col("fold") != CALIBRATION).select("x", "label").mapInArrow(sums, "gram binary, right binary").collect():  # eight tasks
         gram += np.frombuffer(part.gram).reshape(gram.shape)
         right += np.frombuffer(part.right)
     if not gram[-1, -1]:
