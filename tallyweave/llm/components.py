@@ -32,3 +32,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     heads = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)
+
+
+def merge_components(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after more ``links`` (a, b): only components that links join are worked on.
+
+    A node that is not in ``parts`` is a component of its own."""
+    label = parts.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    named = links
+    for side in ("a", "b"):
+        named = named.join(label, F.col(side) == F.col("_node"), "left").withColumn(side, F.coalesce("_component", side)).drop("_node", "_component")
+    top = materialize(components(materialize(named.filter("a <> b").distinct(), "component-links")), "component-tops")
+    renamed = top.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    old = parts.join(renamed, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component"))
+    fresh = top.join(label, F.col("node") == F.col("_node"), "left_anti").select("node", "component")
+    return old.union(fresh)

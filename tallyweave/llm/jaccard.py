@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 from .common import documents, materialize, worker_cache
-from .components import components
+from .components import merge_components
 
 WORDS = 3  # in a shingle
 PERCENT = 90
@@ -412,7 +412,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         more = materialize(verify(_prefilter(_bridges(met, parts, percent, seed), reps, percent), rows, words, percent), "links")
         if more.isEmpty():
             break
-        parts = materialize(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+        parts = materialize(merge_components(parts, more), "components")
 
     comp = F.coalesce("component", "rep").alias("comp")
     labelled = met.join(parts, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", "rank", comp)
@@ -425,8 +425,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     places = F.when(F.col("many"), F.array(here(size, True), here(size + 1, False))).otherwise(F.array(here(F.lit(0), True)))
     dealt = labelled.withColumn("_p", F.explode(places)).select("token", "_p.class", "_p.own", "rep", "n", "pos", "rank", "comp", "bits", "odd", "wide", "head")
     second = verify(_prefilter(_tree_candidates(dealt, percent), reps, percent), rows, words, percent)
-    known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    parts = components(known.union(second))
+    parts = merge_components(parts, materialize(second, "links"))
 
     of_set = firsts.join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     full = slim.filter("n > 0").join(of_set, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
