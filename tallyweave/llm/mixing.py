@@ -1,20 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-A source's rows, in an order dealt by hash, form blocks. Block k of a source of weight w is
-released at slot floor((k - 1) / w) and due at slot ceil(k / w); in every slot the released
-block that is due first goes next. So after any slot a source is within one block of its
-weight. When a source has no block left the others go on with their weights scaled up: the
-schedule is a list of phases, at most one for each source. Within a phase weights are whole
-numbers over ``CYCLE``, so its schedule repeats after CYCLE slots and only one cycle is simulated;
-rows get their positions by arithmetic.
+A source's rows, in an order dealt by hash, form blocks. If all sources were served at once,
+each at its weight, block k of a source of weight w would go from (k - 1) / w to k / w; it is
+released at the slot in which it would begin and due by the end of the one in which it would
+be done, and in every slot the released block that is due first goes next. When a source has no
+block left the others go on with their weights scaled up. Served so at once, the blocks fill
+every slot, so whole blocks fit as well, and earliest deadline first finds such a schedule: after
+any slot a source is within one block of its exact share. Weights are whole numbers of any
+length in exactly the targets' proportion, and every block is placed on its own.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_right
-from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
+from collections.abc import Mapping
+from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, salted_rank, salts_for
 
 BLOCK = 64  # rows
-CYCLE = 1024
 #: Without given weights a source's target is its share of rows to this power, scaled to a sum of 1.
 TEMPERATURE = 0.7
 #: Sources beyond the largest so many are scheduled together as one.
@@ -46,68 +48,68 @@ def whole_weights(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
     return out
 
 
-def cycle_slots(weights: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one cycle of sum(weights) slots: earliest deadline first
-    among released blocks; ties go to the heavier source, then by name."""
-    cycle = sum(weights.values())
-    slots: dict[str, list[int]] = {s: [] for s in weights}
-    waiting = [(0, s) for s in weights]  # (release, source)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str]] = []
-    for t in range(cycle):
+def exact_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights; one that isn't above 0 counts as a billionth of the least."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    least = min(exact.values(), default=Fraction(1)) / 10**9
+    exact = {s: exact.get(s, least) for s in weights}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: x.numerator * (scale // x.denominator) for s, x in exact.items()}
+    common = math.gcd(*whole.values()) or 1
+    return {s: w // common for s, w in whole.items()}
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int | None = None) -> dict[str, np.ndarray]:
+    """Slots of each source's blocks; all blocks are placed, from slot 0 without gaps.
+
+    Ties between deadlines go to the heavier source, then by name. With ``cycle`` the weights
+    are first rounded to whole numbers over it. Time and memory follow the number of blocks.
+    """
+    live = {s: weights[s] for s in blocks if blocks[s]}
+    exact = exact_weights(whole_weights(live, max(cycle, len(live))) if cycle else live)
+    names = sorted(live, key=lambda s: (-exact[s], s))
+    n, w = [blocks[s] for s in names], [exact[s] for s in names]
+    # Until virtual time v a source's share is min(n, w v) blocks; in order of their ends n / w:
+    ends = sorted(range(len(names)), key=lambda i: (n[i] / w[i], Fraction(n[i], w[i])))
+    at = [n[i] / w[i] for i in ends]
+    ended = [0, *accumulate(n[i] for i in ends)]
+    going = [*accumulate((w[i] for i in reversed(ends)), initial=0)][::-1]
+
+    def shared(k: int, own: int) -> tuple[int, int]:
+        """The real time, rounded down and up, at which a source of this weight has its share of k blocks."""
+        i = bisect_right(at, k / own)
+        while i < len(ends) and n[ends[i]] * own <= k * w[ends[i]]:
+            i += 1
+        while i and n[ends[i - 1]] * own > k * w[ends[i - 1]]:
+            i -= 1
+        whole, more = divmod(k * going[i], own)
+        return ended[i] + whole, ended[i] + whole + (more > 0)
+
+    slots = [np.empty(x, dtype=np.int64) for x in n]
+    done, then = [0] * len(names), [0] * len(names)  # blocks placed; the next block's release
+    waiting: list[tuple[int, int]] = [(0, i) for i in range(len(names))]  # (release, source)
+    ready: list[tuple[int, int]] = []  # (deadline, source)
+    for t in range(ended[-1]):
         while waiting and waiting[0][0] <= t:
-            s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * cycle // weights[s]), -weights[s], s))
-        s = heapq.heappop(ready)[2]
-        slots[s].append(t)
-        if len(slots[s]) < weights[s]:
-            heapq.heappush(waiting, (len(slots[s]) * cycle // weights[s], s))
-    return slots
-
-
-@dataclass
-class Phase:
-    start: int  # slot
-    length: int  # slots
-    first: dict[str, int]  # blocks of each source before the phase
-    weights: dict[str, int]
-    slots: dict[str, list[int]]
-
-
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int = CYCLE) -> list[Phase]:
-    """Phases that place all blocks."""
-    done = dict.fromkeys(blocks, 0)
-    phases: list[Phase] = []
-    start = 0
-    while live := [s for s in sorted(blocks) if done[s] < blocks[s]]:
-        whole = whole_weights({s: weights[s] for s in live}, max(cycle, len(live)))
-        slots = cycle_slots(whole)
-        span = sum(whole.values())
-        ends = []  # the slot after which a source has no block left
-        for s in live:
-            rounds, more = divmod(blocks[s] - done[s] - 1, whole[s])
-            ends.append(rounds * span + slots[s][more] + 1)
-        length = min(ends)
-        phases.append(Phase(start, length, {s: done[s] for s in live}, whole, slots))
-        for s in live:
-            rounds, more = divmod(length, span)
-            done[s] += rounds * whole[s] + bisect_right(slots[s], more - 1)
-        start += length
-    return phases
-
-
-def slots_of(phases: list[Phase], source: str, block: np.ndarray) -> np.ndarray:
+            i = heapq.heappop(waiting)[1]
+            then[i], deadline = shared(done[i] + 1, w[i])
+            heapq.heappush(ready, (deadline, i))
+        i = heapq.heappop(ready)[1]
+        slots[i][done[i]] = t
+        done[i] += 1
+        if done[i] < n[i]:
+            heapq.heappush(waiting, (then[i], i))
+    return dict(zip(names, slots, strict=True))
+
+
+def cycle_slots(weights: Mapping[str, int]) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one cycle of sum(weights) slots."""
+    return {s: slots.tolist() for s, slots in schedule(weights, weights).items()}
+
+
+def slots_of(slots: Mapping[str, np.ndarray], source: str, block: np.ndarray) -> np.ndarray:
     """Slots of blocks (from 0) of a source."""
-    own = [p for p in phases if source in p.first]
-    firsts = np.array([p.first[source] for p in own])
-    at = np.searchsorted(firsts, block, "right") - 1
-    out = np.empty(len(block), dtype=np.int64)
-    for i in np.unique(at):
-        p, here = own[i], at == i
-        k = block[here] - firsts[i]
-        w = p.weights[source]
-        out[here] = p.start + k // w * sum(p.weights.values()) + np.array(p.slots[source])[k % w]
-    return out
+    return slots[source][block]
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, order: tuple[str, ...] = ("doc_id",), temperature: float = TEMPERATURE) -> DataFrame:
@@ -117,7 +119,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     without one, as a null source (named by the empty text), gets its share of rows to the power
     ``temperature``. No row is left out or repeated: when a source ends, the others go on. The
     driver holds counts by source (the largest MOST_SOURCES apart, the others together) and
-    the phases. ``order`` names columns that tell rows apart. An empty table gives an empty result.
+    the slot of every block. ``order`` names columns that tell rows apart. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     keyed = docs.withColumn("stream", F.coalesce("source", F.lit("")))
@@ -131,22 +133,21 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     power = {s: (n / total) ** temperature for s, n in counts.items()}
     scale = sum(power.values()) or 1.0
     target = {s: float((weights or {}).get(s, x / scale)) for s, x in power.items()}
-    target = {s: max(x, 1e-9) for s, x in target.items()}
     blocks = {s: -(-n // block) for s, n in counts.items()}
-    phases = schedule(blocks, target)
+    slots = schedule(blocks, target)
     # Only a source's last block may be short; later rows move up by what is missing.
-    short = sorted((int(slots_of(phases, s, np.array([blocks[s] - 1]))[0]), blocks[s] * block - n) for s, n in counts.items())
+    short = sorted((int(slots[s][-1]), blocks[s] * block - n) for s, n in counts.items())
     cuts, missing = np.array([t for t, _ in short], dtype=np.int64), np.cumsum([0, *(x for _, x in short)])
-    shared = spark.sparkContext.broadcast((phases, cuts, missing))
+    shared = spark.sparkContext.broadcast((slots, cuts, missing))
 
     @F.pandas_udf("long")
     def position(stream: pd.Series, rank: pd.Series) -> pd.Series:
-        phases, cuts, missing = shared.value
+        slots, cuts, missing = shared.value
         out = np.empty(len(stream), dtype=np.int64)
         for s in stream.unique():
             here = (stream == s).to_numpy()
             r = rank[here].to_numpy()
-            t = slots_of(phases, s, r // block)
+            t = slots_of(slots, s, r // block)
             out[here] = t * block + r % block - missing[np.searchsorted(cuts, t, "left")]
         return pd.Series(out)
 
