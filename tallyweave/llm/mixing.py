@@ -20,7 +20,7 @@ from fractions import Fraction
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +29,8 @@ from .common import documents, materialize, salted_rank, salts_for
 BLOCK = 64  # rows
 #: Without given weights a source's target is its share of rows to this power, scaled to a sum of 1.
 TEMPERATURE = 0.7
-#: Sources beyond the largest so many are scheduled together as one.
-MOST_SOURCES = 512
-REST = "\x00rest"
+#: Up to so many blocks their places are broadcast.
+BROADCAST_BLOCKS = 200_000
 
 
 def whole_weights(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
@@ -113,47 +112,47 @@ def slots_of(slots: Mapping[str, np.ndarray], source: str, block: np.ndarray) ->
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, order: tuple[str, ...] = ("doc_id",), temperature: float = TEMPERATURE) -> DataFrame:
-    """Every row of ``docs`` with ``stream`` (its source, or REST), ``block`` and ``position``.
+    """Every row of ``docs`` with ``stream`` (its source), ``block`` and ``position``.
 
     Positions are gapless from 0 over all rows. ``weights`` are targets by source; a source
     without one, as a null source (named by the empty text), gets its share of rows to the power
     ``temperature``. No row is left out or repeated: when a source ends, the others go on. The
-    driver holds counts by source (the largest MOST_SOURCES apart, the others together) and
-    the slot of every block. ``order`` names columns that tell rows apart. An empty table gives an empty result.
+    driver holds counts by source and the slot of every block; rows meet their block's place
+    in a join. ``order`` names columns that tell rows apart. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     keyed = docs.withColumn("stream", F.coalesce("source", F.lit("")))
-    by_source = keyed.groupBy("stream").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stream").limit(MOST_SOURCES + 1).collect()
-    total = keyed.count() if len(by_source) > MOST_SOURCES else sum(r.n for r in by_source)
-    counts = {r.stream: r.n for r in by_source[:MOST_SOURCES]}
-    rest = total - sum(counts.values())
-    if rest:
-        keyed = keyed.withColumn("stream", F.when(F.col("stream").isin(list(counts)), F.col("stream")).otherwise(F.lit(REST)))
-        counts[REST] = rest
+    counts = {r.stream: r.n for r in keyed.groupBy("stream").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
     power = {s: (n / total) ** temperature for s, n in counts.items()}
     scale = sum(power.values()) or 1.0
     target = {s: float((weights or {}).get(s, x / scale)) for s, x in power.items()}
-    blocks = {s: -(-n // block) for s, n in counts.items()}
-    slots = schedule(blocks, target)
-    # Only a source's last block may be short; later rows move up by what is missing.
-    short = sorted((int(slots[s][-1]), blocks[s] * block - n) for s, n in counts.items())
-    cuts, missing = np.array([t for t, _ in short], dtype=np.int64), np.cumsum([0, *(x for _, x in short)])
-    shared = spark.sparkContext.broadcast((slots, cuts, missing))
-
-    @F.pandas_udf("long")
-    def position(stream: pd.Series, rank: pd.Series) -> pd.Series:
-        slots, cuts, missing = shared.value
-        out = np.empty(len(stream), dtype=np.int64)
-        for s in stream.unique():
-            here = (stream == s).to_numpy()
-            r = rank[here].to_numpy()
-            t = slots_of(slots, s, r // block)
-            out[here] = t * block + r % block - missing[np.searchsorted(cuts, t, "left")]
-        return pd.Series(out)
-
+    places = block_places(docs.sparkSession, counts, target, block)
     dealt = keyed.withColumn("_mix", F.xxhash64(*order, F.lit(29)))
     ranked = salted_rank(dealt, ["stream"], ["_mix", *order], salts_for(4 * max(counts.values(), default=0)), "_rank").drop("_mix")
-    return ranked.withColumn("position", position("stream", "_rank")).withColumn("block", F.floor(F.col("_rank") / block).cast("long")).drop("_rank")
+    ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block).cast("long"))
+    placed = ranked.join(places, (F.col("stream") == F.col("_stream")) & (F.col("block") == F.col("_block")))
+    return placed.withColumn("position", F.col("_first") + F.col("_rank") % block).drop("_rank", "_stream", "_block", "_first")
+
+
+def block_places(spark: SparkSession, counts: Mapping[str, int], target: Mapping[str, float], block: int) -> DataFrame:
+    """A row for each block of each source: _stream, _block and _first, the position of its first row."""
+    blocks = {s: -(-n // block) for s, n in counts.items()}
+    slots = schedule(blocks, target)
+    names = list(slots)
+    many = np.array([blocks[s] for s in names], dtype=np.int64)
+    every = np.concatenate([np.zeros(0, dtype=np.int64), *slots.values()])
+    ends = np.cumsum(many)
+    missing = np.zeros(len(every) + 1, dtype=np.int64)  # only a source's last block may be short; later rows move up by what is missing
+    missing[every[ends - 1] + 1] = [blocks[s] * block - counts[s] for s in names]
+    found = pa.table(
+        {
+            "_stream": pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), many))),
+            "_block": pa.array(np.arange(len(every)) - np.repeat(ends - many, many), pa.int64()),
+            "_first": pa.array(every * block - np.cumsum(missing)[every], pa.int64()),
+        }
+    )
+    places = spark.createDataFrame(found, "_stream string, _block long, _first long")
+    return F.broadcast(places) if len(every) <= BROADCAST_BLOCKS else places
 
 
 def in_order(mixed: DataFrame, rows: int) -> DataFrame:

@@ -54,3 +54,31 @@ def test_targets_hold_on_many_slots(weights, total):
     for s, w in weights.items():
         taken = np.searchsorted(np.sort(mixing.slots_of(slots, s, np.arange(blocks[s]))), t)
         assert np.abs(taken - float(Fraction(w) / whole) * t).max() < 1 + 1e-6
+
+
+def test_every_source_is_scheduled_on_its_own(spark):
+    """600 equal sources beside a large one, more than were once told apart, and one with a given weight."""
+    rows = [(i, "large") for i in range(6000)] + [(10_000 + i, f"small{i % 600:03}") for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    power = {"large": (6000 / 18_000) ** 0.7, **{f"small{i:03}": (20 / 18_000) ** 0.7 for i in range(600)}}
+    targets = {s: x / sum(power.values()) for s, x in power.items()} | {"small599": 0.05}
+    for limit in (mixing.BROADCAST_BLOCKS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(mixing, "BROADCAST_BLOCKS", limit)
+            got = mixing.mix(df, {"small599": 0.05}, block=1).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(len(rows))) and {r.doc_id for r in got} == {i for i, _ in rows}
+        assert all(r.stream == r.source for r in got)
+        order, total = np.array([r.source for r in got]), sum(targets.values())
+        t = np.arange(1, 301)  # before the given weight's source ends
+        for s, x in targets.items():
+            assert np.abs(np.cumsum(order[:300] == s) - x / total * t).max() < 1 + 1e-6
+
+
+def test_short_blocks_leave_no_gaps(spark):
+    rows = [(i, None if i % 7 == 0 else f"s{i % 7 % 3}") for i in range(1000)]
+    got = mixing.mix(spark.createDataFrame([*rows, *rows[:30]], "doc_id long, source string"), block=8).collect()
+    assert sorted(r.position for r in got) == list(range(1030))
+    for s in {r.stream for r in got}:
+        for b in {r.block for r in got if r.stream == s}:
+            own = sorted(r.position for r in got if (r.stream, r.block) == (s, b))
+            assert own == list(range(own[0], own[0] + len(own)))
