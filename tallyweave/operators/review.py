@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,15 +109,18 @@ def apply_decisions(orders: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", F.coalesce(outcome, F.lit("sem_decisao"))).withColumn("order_no", number).withColumn("cents", F.when(approve, cents).otherwise(c("cents"))).withColumn("status", F.coalesce(status, c("status"))).drop("_id", "_d", "_cents", "_no")
 
 
-def cards_by_root(cards: DataFrame, most: int = 32) -> DataFrame:
+def cards_by_root(cards: DataFrame, cut: int = 8) -> DataFrame:
     """Counts of (id, parent, state) by the root of each card's parent chain and by state; a chain
-    that runs into itself ends where it began."""
+    that runs into itself ends where it began. Chains of any length are walked to their end; lineage
+    is cut every ``cut`` steps."""
     parents = cards.select(F.col("id").alias("_p"), F.col("parent").alias("_up"))
     walk = cards.select("id", "state", F.col("id").alias("root"), F.array("id").alias("seen"))
-    for _ in range(most):
+    for n in count(1):
         step = walk.join(parents, F.col("root") == F.col("_p"), "left")
         on = F.col("_up").isNotNull() & ~F.array_contains("seen", F.col("_up"))
         walk = step.select("id", "state", F.when(on, F.col("_up")).otherwise(F.col("root")).alias("root"), F.when(on, F.concat("seen", F.array("_up"))).otherwise(F.col("seen")).alias("seen"), on.alias("_more"))
+        if n % cut == 0:
+            walk = walk.localCheckpoint()
         if walk.filter("_more").isEmpty():
             break
         walk = walk.drop("_more")
