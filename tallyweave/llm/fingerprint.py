@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import zip_longest
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,15 +84,51 @@ def likeness(a: str, b: str) -> float:
     return _share(count(a), count(b))
 
 
-def locate_edits(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, leaf) places of ``b`` that ``a`` lacks; equal branches are skipped whole."""
+class Edit(NamedTuple):
+    """A difference: ``changed``, ``deleted``, ``added`` or ``moved``, with its (section, paragraph, leaf)
+    in either text, None where it has none. The place after a paragraph's last leaf is the paragraph's end."""
+
+    kind: str
+    before: tuple[int, int, int] | None
+    after: tuple[int, int, int] | None
+
+
+def _differing(a: list, b: list) -> Iterator[tuple[slice, slice]]:
+    """Stretches of two aligned lists that differ."""
+    for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if kind != "equal":
+            yield slice(i, j), slice(k, m)
+
+
+def locate_edits(a: str, b: str) -> list[Edit]:
+    """What leads from ``a`` to ``b``: sections, paragraphs and leaves are aligned in order, and only
+    differing stretches are descended into. Leaves that go at one place and come at another have moved."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return []
-    left, right = _codes(a), _codes(b)
-    known = {repr(s) for s in left}
-    paragraphs = {repr(p) for s in left for p in s}
-    codes = {x for s in left for p in s for x in p}
-    return [(i, j, k) for i, s in enumerate(right) if repr(s) not in known for j, p in enumerate(s) if repr(p) not in paragraphs for k, x in enumerate(p) if x not in codes]
+    left, right = ([tuple(tuple(p) for p in s) for s in _codes(x)] for x in (a, b))
+    paragraphs = lambda sections, span: [((i, j), p) for i in range(span.start, span.stop) for j, p in enumerate(sections[i])]
+    in_them = lambda found: [((*at, k), x) for at, p in found for k, x in enumerate((*p, ""))]
+    stretches = []  # leaves that go and leaves that come, by stretch
+    for s, t in _differing(left, right):
+        own, new = paragraphs(left, s), paragraphs(right, t)
+        for p, q in _differing([x for _, x in own], [x for _, x in new]):
+            gone, come = in_them(own[p]), in_them(new[q])
+            stretches += [(gone[u], come[v]) for u, v in _differing([x for _, x in gone], [x for _, x in come])]
+    places = defaultdict(deque)  # of leaves that come, by code
+    for _, come in stretches:
+        for at, x in come:
+            if x:
+                places[x].append(at)
+    out = []
+    for gone, _ in stretches:
+        for at, x in gone:
+            if x and places[x]:
+                out.append(Edit("moved", at, places[x].popleft()))
+    before, after = {e.before for e in out}, {e.after for e in out}
+    for gone, come in stretches:
+        pairs = zip_longest([at for at, _ in gone if at not in before], [at for at, _ in come if at not in after])
+        out += [Edit("changed" if x and y else "deleted" if x else "added", x, y) for x, y in pairs]
+    return out
 
 
 def edited(text: str, following: str) -> str:
