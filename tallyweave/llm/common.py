@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
+import gc
 import shutil
-import sys
 import tempfile
-import types
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,12 +57,41 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker process keeps from task to task.
+_KEPT: dict[str, object] = {}
+
+
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """One object for each Python worker process, kept across tasks."""
-    holder = sys.modules.setdefault("_tallyweave_worker", types.ModuleType("_tallyweave_worker"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    """One object for each Python worker process, kept across the tasks that ask for it; a task that
+    asks for another one, or a :func:`worker_pass` without any, drops it."""
+    if name not in _KEPT:
+        _forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def _forget() -> None:
+    """Drops what earlier stages left in this worker, and gives the memory back to the system."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def worker_pass(run: Callable[[Iterator], Iterator], cached: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, in a worker that holds nothing of other stages before it, unless
+    it has a cache of its own (``cached``), and no spare memory after it."""
+
+    def whole(batches: Iterator) -> Iterator:
+        if not cached:
+            _forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole
 
 
 def salts_for(n_rows: int) -> int:

@@ -15,7 +15,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     them. Rounds are written to the shared folder, so lineage stays short; only the edge count
     and a checksum reach the driver. No links give an empty result.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    # Written once: every round reads its edges several times.
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,10 +40,10 @@ def merge_components(parts: DataFrame, links: DataFrame) -> DataFrame:
 
     A node that is not in ``parts`` is a component of its own."""
     label = parts.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    named = links
+    named = materialize(links, "more-links")
     for side in ("a", "b"):
         named = named.join(label, F.col(side) == F.col("_node"), "left").withColumn(side, F.coalesce("_component", side)).drop("_node", "_component")
-    top = materialize(components(materialize(named.filter("a <> b").distinct(), "component-links")), "component-tops")
+    top = materialize(components(named.filter("a <> b")), "component-tops")
     renamed = top.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
     old = parts.join(renamed, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component"))
     fresh = top.join(label, F.col("node") == F.col("_node"), "left_anti").select("node", "component")

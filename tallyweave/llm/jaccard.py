@@ -1,48 +1,48 @@
 """N-gram Jaccard join with signature trees, exact for a given threshold.
 
-A document's set holds 64-bit hashes of its word shingles. Two sets above the threshold share a
-token among the first few of each in any one global order, so sets meet by such prefix tokens;
-shingles frequent in a sample come last in the order, which keeps groups small. Sets that
-meet are joined by a signature tree: nodes hold OR-combined bitmaps and size ranges, and a dual
-traversal drops node pairs whose sets must differ by more than the threshold allows. What
-survives is checked on whole sets. Only connected groups are wanted, so pairs already in one
-component are skipped: first rounds link neighbours by size at the first tokens, then neighbouring
-components there; the trees join what is still apart.
+A document's set holds 64-bit hashes of its word shingles; equal sets are one set from the start.
+Two sets above the threshold share a token among the first few of each in any one global order, so
+sets of like size that share such a token form a group; groups of the same members count once.
+
+Each group is joined by a signature tree: nodes hold OR-combined bitmaps and size ranges, and a dual
+traversal drops node pairs whose sets must differ by more than the threshold allows, or which are
+connected already. Rows that are left and whose parities let them link are connected; a group gives
+a spanning forest of them, never its pairs. The components of all forests hold every component of
+true links, so each of their sets travels once, whole, to its component, where trees and exact
+overlaps say which links are true; again a forest comes out.
+
+Groups beyond a task's bounds are parted by hash into blocks, which are joined one by one. What is
+not connected then is joined with all the rest, block by block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from .common import documents, materialize, worker_cache
-from .components import merge_components
+from .common import documents, materialize, worker_pass
+from .components import components, merge_components
 
 WORDS = 3  # in a shingle
 PERCENT = 90
 BITS = 1024  # of every set's bitmap and parities; sets over WIDE shingles have wider parities besides
 WIDE = 2000
-LEAF, FANOUT = 32, 8
+LEAF, FANOUT = 8, 4
 #: One document of so many, but SAMPLE at least, shows which shingles are frequent: those that FREQUENT
-#: documents of the sample hold. As the sample grows with the corpus, other shingles stay in few documents.
-SHARE, SAMPLE, FREQUENT = 40, 6000, 4
-#: A set's first tokens among those it shares, at which the first rounds link neighbours; rows carry
-#: them, so a pair that meets at one of them is looked at there only.
-NEAR = 4
-#: Sets that meet at one token up to which they are joined in one task; beyond it they are parted by size.
-TOGETHER = 256
-#: Ids up to which the list of candidates is broadcast; beyond it texts are shuffled to them.
+#: documents of the sample hold. The share is the same at every size, so other shingles stay in as few documents.
+SHARE, SAMPLE, FREQUENT = 8, 6000, 4
+#: Rows and bytes of a group that one task joins; larger ones are parted into blocks of so much.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
+#: Documents up to which the list of those whose sets are needed is broadcast; beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
-#: Rounds that link neighbouring components before the trees; more or fewer change the work only.
-BRIDGES = 4
-_CHUNK = 100_000
+_PAIRS = 200_000  # row pairs looked at together
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -52,16 +52,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.zeros(0, dtype=np.uint64)
-    known: dict[bytes, int] = worker_cache("word hashes", dict)
-    if len(known) > 200_000:
-        known.clear()
-    hashes = []
-    for w in parts:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxh3_64_intdigest(w)
-        hashes.append(h)
-    h = np.array(hashes, dtype=np.uint64)
+    h = np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts))
     k = min(words, len(h))
     n = len(h) - k + 1
     mixed = np.full(n, k if k < words else 0, dtype=np.uint64)
@@ -73,20 +64,18 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed)
 
 
+def _marks(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits)
+
+
 def bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Bits that some token hits: nodes of a tree combine them by OR."""
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    at = tokens % np.uint64(bits)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    return np.packbits(_marks(tokens, bits) > 0).view(np.uint64)
 
 
 def parities(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Bits that an odd number of tokens hit: two sets differ in as many elements at least as their parities in bits."""
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    at = tokens % np.uint64(bits)
-    np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    return np.packbits((_marks(tokens, bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def _fold(wide: np.ndarray, bits: int) -> np.ndarray:
@@ -121,7 +110,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(found)], names=["h"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(of)) == 0).select("text").distinct()
-    top = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(200_000)
+    top = some.mapInArrow(worker_pass(run), "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(200_000)
     return np.sort(np.array([r.h for r in top.toLocalIterator()], dtype=np.int64).view(np.uint64))
 
 
@@ -135,43 +124,50 @@ def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.sort(np.where(common, tokens | top, tokens & ~top))
 
 
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    h1, h2 = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64)
+    return int(h1), int(h2)
+
+
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, h1 and h2 (128 bits of the set), prefix tokens, bitmap and parities of every row."""
+    """doc_id, text_hash, n, h1 and h2 (128 bits of the set), prefix tokens, bitmap and parities of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
-    names = ["doc_id", "n", "h1", "h2", "prefix", "bits", "odd", "wide"]
+    kinds = {"n": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "prefix": pa.list_(pa.int64()), "bits": pa.binary(), "odd": pa.binary(), "wide": pa.binary()}
+
+    def one(text: str | None) -> tuple:
+        tokens = shingles(text, words)
+        n = len(tokens)
+        prefix = _ordered(tokens, shared.value)[: n - int(needed(n, percent)) + 1] if n else tokens
+        wide = parities(tokens, _wide_bits(n)).tobytes() if n > WIDE else None
+        return n, *_digest(tokens), prefix.view(np.int64), bitmap(tokens).tobytes(), parities(tokens).tobytes(), wide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                out: list[list] = [[], [], [], [], [], [], []]
-                for text in batch.column("text"):
-                    tokens = shingles(text.as_py(), words)
-                    n = len(tokens)
-                    digest = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64)
-                    prefix = _ordered(tokens, shared.value)[: n - int(needed(n, percent)) + 1] if n else tokens
-                    wide = parities(tokens, _wide_bits(n)).tobytes() if n > WIDE else None
-                    for column, x in zip(out, (n, int(digest[0]), int(digest[1]), prefix.view(np.int64), bitmap(tokens).tobytes(), parities(tokens).tobytes(), wide), strict=True):
-                        column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=names)
-
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits binary, odd binary, wide binary")
-
-
-def _size_class(n, percent: int):
+                columns = zip(*[one(text.as_py()) for text in batch.column("text")], strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]], names=["doc_id", "text_hash", *kinds])
+
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(worker_pass(run), "doc_id long, text_hash long, n long, h1 long, h2 long, prefix array<long>, bits binary, odd binary, wide binary")
+
+
+def _size_class(n: Column, percent: int) -> Column:
     """Sets that link are of one class or of neighbouring ones; classes are a little wide for safe rounding."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
 
 
 def _meetings(tokens: DataFrame, percent: int) -> DataFrame:
-    """Of (token, rep, n, pos), rows whose token a set of like size shares, which the next smaller or
-    larger one shows, with their ``rank`` from 0 among the rows of their set that remain."""
-    names = ["token", "rep", "n", "pos"]
+    """Rows (token, key, n) whose token a set of like size shares, which the next smaller or larger one shows.
+
+    Ranges of (token, size) are dealt out, so a token of very many sets is spread over tasks; a row
+    at a task's edge, whose neighbour is not known there, stays."""
+    names = ["token", "key", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None  # the last row, whose successor is not known yet
-        alike = False  # whether the row before it has its token and a like size
+        alike = True  # whether the row before it has its token and a like size; not known for the first
         for batch in batches:
             rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
             if not len(rows):
@@ -183,23 +179,23 @@ def _meetings(tokens: DataFrame, percent: int) -> DataFrame:
             kept = rows[:-1][before[:-1] | like]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in kept.T], names=names)
             held, alike = rows[-1:], bool(before[-1])
-        if held is not None and alike:
+        if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in held[0]], names=names)
 
-    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = tokens.repartition(n, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(run, "token long, rep long, n long, pos long")
-    return met.withColumn("rank", (F.row_number().over(Window.partitionBy("rep").orderBy("pos")) - 1).cast("long"))  # a set's prefix at most
+    return tokens.repartitionByRange("token", "n", "key").sortWithinPartitions("token", "n", "key").mapInArrow(worker_pass(run), "token long, key long, n long")
 
 
-def _bridges(met: DataFrame, parts: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Pairs (a, b), one member each of components that are neighbours at one of the first tokens,
-    in a new order of members and components for every ``seed``."""
-    rows = met.filter(F.col("rank") < NEAR).join(parts, F.col("rep") == F.col("node"), "left")
-    one = rows.groupBy("token", F.coalesce("component", "rep").alias("comp")).agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(seed))).alias("r"))
-    order = Window.partitionBy("token").orderBy(_size_class(F.col("r.n"), percent), F.xxhash64("comp", F.lit(seed)))
-    pairs = one.select("r", F.lag("r").over(order).alias("p")).filter("p IS NOT NULL")
-    alike = 100 * F.least("r.n", "p.n") >= percent * F.greatest("r.n", "p.n")
-    return pairs.filter(alike & (F.col("r.rep") != F.col("p.rep"))).select(F.least("r.rep", "p.rep").alias("a"), F.greatest("r.rep", "p.rep").alias("b")).distinct()
+def _groups(met: DataFrame, percent: int) -> DataFrame:
+    """Members (grp, key, n) of groups of sets that may link: those of one token and of neighbouring
+    size classes without a gap. Of groups with the same members one stays."""
+    met = met.withColumn("class", _size_class(F.col("n"), percent))
+    counted = met.groupBy("token", "class").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("key", F.lit(s))).alias(f"x{s}") for s in (1, 2)])
+    order = Window.partitionBy("token").orderBy("class")  # a row for each class that a token has
+    gap = (F.col("class") - F.lag("class").over(order) > 1).cast("int")
+    runs = counted.withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("_gap").over(order)).groupBy("token", "run")
+    runs = runs.agg(F.sum("c").alias("c"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.min("class").alias("low"), F.max("class").alias("high")).filter("c > 1")
+    one = runs.groupBy("c", "x1", "x2").agg(F.min(F.struct("token", "low", "high")).alias("g")).select("g.*")
+    return met.join(one, "token").filter(F.col("class").between(F.col("low"), F.col("high"))).select(F.xxhash64("token", "low").alias("grp"), "key", "n")
 
 
 def tree_pairs(bitmaps: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -211,7 +207,6 @@ def tree_pairs(bitmaps: np.ndarray, sizes: np.ndarray, group: np.ndarray, percen
     their rows are of one ``group`` already.
     """
     starts = np.arange(0, len(sizes), LEAF)
-    mixed = np.int64(-(2**62))
 
     def up(ors, bits, low, high, g0, g1, at):
         return (np.bitwise_or.reduceat(ors, at, axis=0), np.minimum.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(g0, at), np.maximum.reduceat(g1, at))
@@ -228,7 +223,7 @@ def tree_pairs(bitmaps: np.ndarray, sizes: np.ndarray, group: np.ndarray, percen
             both = np.bitwise_count(ors[p] & ors[q]).sum(axis=1).astype(np.int64)
             differ = np.maximum(0, bits[p] - both) + np.maximum(0, bits[q] - both)
             good = (differ <= differ_at_most(high[p], high[q], percent)) & (100 * high[p] >= percent * low[q]) & (100 * high[q] >= percent * low[p])
-            good &= ~((g0[p] == g1[p]) & (g0[q] == g1[q]) & (g0[p] == g0[q]) & (g0[p] != mixed))
+            good &= ~((g0[p] == g1[p]) & (g0[q] == g1[q]) & (g0[p] == g0[q]))
             kept.append(part[good])
         pairs = np.vstack(kept)
         if depth:
@@ -241,152 +236,236 @@ def tree_pairs(bitmaps: np.ndarray, sizes: np.ndarray, group: np.ndarray, percen
     return pairs
 
 
-def _apart(rows: dict[str, np.ndarray], wide: list, starts: np.ndarray, ends: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of row numbers, within the given runs, that may link and are in different components."""
-    bitmaps, odd, head, n, comp, own, pos, rank, rep = (rows[c] for c in ("bits", "odd", "head", "n", "comp", "own", "pos", "rank", "rep"))
-    blocks: list[np.ndarray] = []
-    length = ends - starts
-    little = length <= LEAF
-    blocks.append(np.column_stack([starts, ends, starts, ends])[little])
-    for a, b in zip(starts[~little], ends[~little], strict=True):
-        leaf = tree_pairs(bitmaps[a:b], n[a:b], comp[a:b], percent)
-        lo = a + leaf * LEAF
-        hi = np.minimum(lo + LEAF, b)
-        blocks.append(np.column_stack([lo[:, 0], hi[:, 0], lo[:, 1], hi[:, 1]]))
-    todo = np.vstack(blocks)
-    cells = (todo[:, 1] - todo[:, 0]) * (todo[:, 3] - todo[:, 2])
-    cut = np.flatnonzero(np.diff(np.cumsum(cells) // _CHUNK)) + 1
-    for part, size in zip(np.split(todo, cut), np.split(cells, cut), strict=True):
-        if not len(part):
-            continue
-        block = np.repeat(np.arange(len(part)), size)
-        at = np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
-        width = (part[:, 3] - part[:, 2])[block]
-        x, y = part[block, 0] + at // width, part[block, 2] + at % width
-        good = (x < y) & (comp[x] != comp[y]) & (own[x] | own[y]) & (rep[x] != rep[y])
-        x, y = x[good], y[good]
-        a, b, i, j = n[x], n[y], pos[x], pos[y]
-        shared = np.minimum(i, j) + 1 + np.minimum(a - i - 1, b - j - 1)
-        good = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (a + b - 2 * shared <= differ_at_most(a, b, percent))
+class _Forest:
+    """Row numbers of one block and who is connected with whom; ``edges`` connect what was apart."""
+
+    def __init__(self, label: np.ndarray):
+        _, first, at = np.unique(label, return_index=True, return_inverse=True)
+        self.up = first[at]
+        self.edges: list[tuple[int, int]] = []
+
+    def roots(self) -> np.ndarray:
+        while not np.array_equal(up := self.up[self.up], self.up):
+            self.up = up
+        return self.up
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = int(self.up[x])
+        return x
+
+    def join(self, x: int, y: int, links: Callable[[int, int], bool]) -> None:
+        p, q = self.find(x), self.find(y)
+        if p != q and links(x, y):
+            self.up[max(p, q)] = min(p, q)
+            self.edges.append((x, y))
+
+
+def _spread(leaves: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of pairs of leaves, nearest leaves first, some leaves' at a time."""
+    leaves = leaves[np.argsort(leaves[:, 1] - leaves[:, 0], kind="stable")]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(LEAF), np.arange(LEAF), indexing="ij"))
+    for part in np.array_split(leaves, max(1, len(leaves) * LEAF * LEAF // _PAIRS)):
+        x, y = (part[:, :1] * LEAF + i).ravel(), (part[:, 1:] * LEAF + j).ravel()
+        good = (x < y) & (y < m)
+        yield x[good], y[good]
+
+
+def _forest(rows: dict[str, np.ndarray], alike: Callable[[np.ndarray, np.ndarray], np.ndarray], links: Callable[[int, int], bool], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect the rows of one block which links connect, beyond what ``comp`` says.
+
+    Only pairs of two sides are asked for where ``side`` has both."""
+    n, m = rows["n"], len(rows["n"])
+    forest = _Forest(rows["comp"])
+    two = rows["side"].min() != rows["side"].max()
+    leaves = tree_pairs(rows["bits"], n, rows["comp"], percent)
+    for x, y in _spread(leaves, m):
+        root = forest.roots()
+        good = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        if two:
+            good &= rows["side"][x] != rows["side"][y]
         x, y = x[good], y[good]
-        if not len(x):
-            continue
-        met = np.zeros(len(x), dtype=bool)  # at a token before this one; 0 stands for no token
-        for k in range(NEAR):
-            at_x = head[x, k]
-            met |= (at_x != 0) & (k < rank[x]) & (head[y] == at_x[:, None]).any(axis=1)
-        x, y = x[~met], y[~met]
+        if len(x):
+            good = alike(x, y)
+            for a, b in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                forest.join(a, b, links)
+    return forest.edges
+
+
+def _words(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _may_link(odd: np.ndarray, wide: list, n: np.ndarray, percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether parities let rows link."""
+
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         most = differ_at_most(n[x], n[y], percent)
         good = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1) <= most
-        for k in np.flatnonzero(good & (n[x] > WIDE) & (n[y] > WIDE)):  # few: parities of BITS bits say little of such sets
+        for k in np.flatnonzero(good & (n[x] > WIDE) & (n[y] > WIDE)) if any(wide) else ():  # few: parities of BITS bits say little of such sets
             u, v = np.frombuffer(wide[x[k]], dtype=np.uint64), np.frombuffer(wide[y[k]], dtype=np.uint64)
             bits = 64 * min(len(u), len(v))
             good[k] = np.bitwise_count(_fold(u, bits) ^ _fold(v, bits)).sum() <= most[k]
-        x, y = x[good], y[good]
-        yield np.column_stack([rep[x], rep[y]])
+        return good
 
+    return alike
 
-def _tree_candidates(meetings: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) from (token, class, own, rep, n, pos, rank, comp, bits, odd, wide, head) rows."""
-    names = ("token", "class", "own", "rep", "n", "pos", "rank", "comp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def work(table: pa.Table, last: bool) -> tuple[pa.Table | None, Iterator[np.ndarray]]:
-            token, kind = table["token"].to_numpy(), table["class"].to_numpy()
-            edge = np.flatnonzero((token[1:] != token[:-1]) | (kind[1:] != kind[:-1])) + 1
-            starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(token)]])
-            rest = None
-            if not last:  # the last run may go on
-                rest = table.slice(int(starts[-1])).combine_chunks()
-                starts, ends = starts[:-1], ends[:-1]
-            several = ends - starts > 1
-            starts, ends = starts[several], ends[several]
-            if not len(starts):
-                return rest, iter(())
-            rows = {c: table[c].to_numpy() for c in names}
-            for c in ("bits", "odd"):
-                rows[c] = np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-            rows["head"] = np.asarray(table["head"].combine_chunks().flatten()).reshape(-1, NEAR)
-            return rest, _apart(rows, table["wide"].to_pylist(), starts, ends, percent)
-
-        def out(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for part in found:
-                if len(part):
-                    pairs = np.unique(np.sort(part, axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+def _candidates(table: pa.Table, rows: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    rows["bits"] = _words(table["bits"].to_pylist())
+    alike = _may_link(_words(table["odd"].to_pylist()), table["wide"].to_pylist(), rows["n"], percent)
+    return _forest(rows, alike, lambda x, y: True, percent)
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if not table.num_rows:
-                continue
-            held, found = work(table.combine_chunks(), False)
-            yield from out(found)
-        if held is not None and held.num_rows:
-            yield from out(work(held, True)[1])
 
-    n = int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = meetings.repartition(n, "token", "class").sortWithinPartitions("token", "class", "comp", "n")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
 
 
-def _prefilter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose parities let them link."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"s{c}"), F.col("wide").alias(f"w{c}"))
+def _true_links(table: pa.Table, rows: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()]
+    rows["bits"] = np.stack([bitmap(s) for s in sets])
+    odd = np.stack([parities(s) for s in sets])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for na, nb, sa, sb, wa, wb in zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb", "wa", "wb")], strict=True):
-                u, v = (np.frombuffer(x, dtype=np.uint64) for x in ((wa, wb) if wa and wb else (sa, sb)))
-                bits = 64 * min(len(u), len(v))
-                good.append(np.bitwise_count(_fold(u, bits) ^ _fold(v, bits)).sum() <= differ_at_most(na, nb, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def links(x: int, y: int) -> bool:
+        both = overlap(sets[x], sets[y])
+        return 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return _forest(rows, _may_link(odd, [], rows["n"], percent), links, percent)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of distinct candidate pairs (a, b) of doc_ids, those whose whole sets reach the threshold.
+def _block_edges(rows: DataFrame, join: Callable, percent: int) -> DataFrame:
+    """Edges (a, b) of every block of (grp, block, key, n, comp, side, ...) rows; a task holds one block at a time."""
 
-    Sets are made anew from the candidates' texts only. A set travels once to each pair.
+    def work(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(parts).combine_chunks()
+        if table.num_rows > 1:
+            columns = {c: table[c].to_numpy() for c in ("key", "n", "comp", "side")}
+            key = columns["key"]
+            if edges := np.array(join(table, columns, percent), dtype=np.int64).reshape(-1, 2).T.tolist():
+                if edges[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[edges[0]]), pa.array(key[edges[1]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            grp, block = table["grp"].to_numpy(), table["block"].to_numpy()
+            cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (block[1:] != block[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(grp)], strict=True):
+                if held and last != (grp[a], block[a]):
+                    yield from work(held)
+                    held = []
+                last = (grp[a], block[a])
+                held.append(table.slice(a, b - a))
+        if held:
+            yield from work(held)
+
+    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "n", "key").mapInArrow(worker_pass(run), "a long, b long")
+
+
+def _joined(members: DataFrame, attach: Callable[[DataFrame], DataFrame], join: Callable, row_bytes: Column, percent: int) -> DataFrame:
+    """(node, component) of the keys of ``members`` (grp, key, n) that ``join`` connects within groups.
+
+    A group within BLOCK_ROWS and BLOCK_BYTES is one block. A larger one is dealt into blocks by hash,
+    which are joined on their own; then only what is apart is looked at: the largest component of the
+    group is its one side, split into blocks, and each of them meets each block of the rest, as
+    blocks of the rest meet one another. Rows sent follow (rows of the group) x (blocks of the rest).
     """
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = materialize(ids, "pair-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    size = members.groupBy("grp").agg(F.count("*").alias("_rows"), F.sum(row_bytes).alias("_bytes"))
+    blocks = lambda rows, size_: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size_ / BLOCK_BYTES)).cast("int")
+    large = materialize(size.select("grp", blocks(F.col("_rows"), F.col("_bytes")).alias("_k")).filter("_k > 1"), "large-groups")
+    any_large = not large.isEmpty()
+    dealt = members.withColumns({"comp": F.col("key"), "side": F.lit(0)})
+    if any_large:
+        spread = F.pmod(F.xxhash64("key", F.lit(7)), F.col("_k"))
+        dealt = dealt.join(large, "grp", "left").withColumn("block", F.coalesce(spread, F.lit(0)).cast("long")).drop("_k")
+    else:
+        dealt = dealt.withColumn("block", F.lit(0).cast("long"))
+    parts = materialize(components(_block_edges(attach(dealt), join, percent)), "components")
+    if not any_large:
+        return parts
+    rows = members.join(large.select("grp"), "grp").join(parts, F.col("key") == F.col("node"), "left").select("grp", "key", "n", F.coalesce("component", "key").alias("comp"))
+    rows = materialize(rows, "large-rows")
+    by_comp = rows.groupBy("grp", "comp").agg(F.count("*").alias("c"), F.sum(row_bytes).alias("w"))
+    sides = by_comp.groupBy("grp").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("_mc"), F.max_by("w", F.struct("c", "comp")).alias("_mw"), F.sum("c").alias("_c"), F.sum("w").alias("_w"))
+    sides = sides.filter("_c > _mc").select("grp", "main", blocks(F.col("_mc"), F.col("_mw")).alias("km"), blocks(F.col("_c") - F.col("_mc"), F.col("_w") - F.col("_mw")).alias("kr"))
+    rows = rows.join(sides, "grp")
+    up_to = lambda k: F.sequence(F.lit(0), k - 1)
+    at = lambda k: F.pmod(F.xxhash64("key", F.lit(19)), F.col(k)).cast("int")
+    cell = lambda side, i, j: F.struct(F.lit(side).alias("side"), F.xxhash64(F.lit(side if side < 2 else 1), i, j).alias("block"))
+    # Side 0: the rest among itself, by pairs of its blocks. Sides 1 and 2: the main component and the rest, by block of each.
+    among = F.transform(up_to(F.col("kr")), lambda j: cell(0, F.least(at("kr"), j), F.greatest(at("kr"), j)))
+    main = F.transform(up_to(F.col("kr")), lambda j: cell(1, at("km"), j))
+    rest = F.concat(among, F.transform(up_to(F.col("km")), lambda i: cell(2, i, at("kr"))))
+    again = rows.withColumn("_p", F.explode(F.when(F.col("comp") == F.col("main"), main).otherwise(rest))).select("grp", "key", "n", "comp", "_p.side", "_p.block")
+    return materialize(merge_components(parts, _block_edges(attach(again), join, percent)), "components")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
+    """(key, tokens) of the rows of ``docs`` whose doc_id is in ``wanted`` (first), made anew from their texts."""
+    wanted = materialize(wanted.select("first").distinct(), "set-ids")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column("text")], pa.binary())], names=["id", "tokens"])
+                sets = [shingles(x.as_py(), words) for x in whole.slice(start, 500).column("text")]
+                h1, h2 = zip(*map(_digest, sets), strict=True) if sets else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h1", "h2", "tokens"])
 
-    # Rows that share an id have a representative with the smallest set hash; a wrong one only fails the check.
-    whole = materialize(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(sets, "id long, tokens binary").dropDuplicates(["id"]), "pair-sets")
-    asked = pairs.join(whole, F.col("b") == F.col("id")).select("a", "b", "tokens")
-    lead = whole.join(pairs.select("a").distinct(), F.col("id") == F.col("a")).select("a", F.lit(None).cast("long").alias("b"), "tokens")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
+    return texts.mapInArrow(worker_pass(run), "h1 long, h2 long, tokens binary").select(_key(seed), "tokens")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None
-        for batch in batches:
-            linked: list[tuple[int, int]] = []
-            for a, b, tokens in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("tokens"), strict=True):
-                own = np.frombuffer(tokens.as_py(), dtype=np.uint64)
-                if b is None:
-                    key, held = a, own
-                elif key == a:
-                    merged = np.concatenate([held, own])
-                    merged.sort()
-                    both = int((merged[1:] == merged[:-1]).sum())
-                    if 100 * both >= percent * (len(held) + len(own) - both):
-                        linked.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in linked], pa.int64()), pa.array([b for _, b in linked], pa.int64())], names=["a", "b"])
-
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return asked.union(lead).repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
+
+def _key(seed: int) -> Column:
+    return F.xxhash64("h1", "h2", F.lit(seed)).alias("key")
+
+
+def _unique_seed(sets: DataFrame) -> int:
+    """A seed by which no two sets have the same 64-bit key."""
+    seed = 0
+    while not sets.select(_key(seed)).groupBy("key").count().filter("count > 1").isEmpty():
+        seed += 1
+    return seed
+
+
+def row_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, group (null without shingles; else one
+    number for each component) and component_id of every row; see :func:`jaccard_components`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = materialize(signatures(rows, words, percent), "signatures")
+    slim = signed.select("doc_id", "text_hash", "n", "h1", "h2")
+    firsts = materialize(slim.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "distinct-sets")
+    seed = _unique_seed(firsts)
+    own = firsts.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), _key(seed), "first")
+    sets = signed.join(own, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "first", "n", "prefix", "bits", "odd", "wide")
+    again = not slim.groupBy("doc_id", "h1", "h2").count().filter("count > 1").isEmpty()  # rows of an id with equal sets
+    if again:
+        sets = sets.dropDuplicates(["key"])
+    sets = materialize(sets, "sets")
+
+    met = materialize(_meetings(sets.select("key", "n", F.explode("prefix").alias("token")), percent), "meetings")
+    groups = materialize(_groups(met, percent), "groups")
+    shapes = sets.select("key", "bits", "odd", "wide")
+    maybe = _joined(groups, lambda x: x.join(shapes, "key"), _candidates, F.lit(400) + F.col("n") / 8, percent)
+
+    clusters = materialize(maybe.join(sets.select("key", "n", "first"), F.col("node") == F.col("key")).select(F.col("component").alias("grp"), "key", "n", "first"), "clusters")
+    whole = _sets_of(rows, clusters, words, seed)
+    whole = whole.dropDuplicates(["key"]) if again else whole
+    parts = _joined(clusters.drop("first"), lambda x: x.join(whole, "key"), _true_links, 8 * F.col("n"), percent)
+
+    of_set = own.join(parts, F.col("key") == F.col("node"), "left").select("_h1", "_h2", "first", F.coalesce("component", "key").alias("group"))
+    ids = of_set.groupBy(F.col("group").alias("_g")).agg(F.min("first").alias("component_id"))
+    of_set = of_set.join(ids, F.col("group") == F.col("_g")).select("_h1", "_h2", "group", "component_id")
+    full = slim.filter("n > 0").join(of_set, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "group", "component_id")
+    return full.union(slim.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id")))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -394,42 +473,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     Sets link when 100 * intersection >= percent * union; the component is the smallest doc_id
     that links reach. Null texts and texts without words have no shingles and are alone; equal
-    sets are one set from the start, so copies cost a count; repeated rows come out each.
+    sets are one set from the start, so copies cost a count; repeated rows come out each. A doc_id
+    with several texts has a row for each, in the component of that text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(signatures(rows, words, percent), "signatures")
-    slim = signed.select("doc_id", "n", "h1", "h2")
-    firsts = materialize(slim.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "representatives")
-    reps = signed.join(firsts, ["h1", "h2"]).filter(F.col("doc_id") == F.col("rep")).select("rep", "n", "prefix", "bits", "odd", "wide")
-    if not slim.groupBy("doc_id", "h1", "h2").count().filter("count > 1").isEmpty():  # rows repeat whole
-        reps = reps.dropDuplicates(["rep"])
-    reps = materialize(reps, "sets")
-    tokens = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", F.col("pos").cast("long").alias("pos"))
-    met = materialize(_meetings(tokens, percent), "meetings")
-
-    parts = rows.sparkSession.createDataFrame([], "node long, component long")
-    for seed in range(BRIDGES):
-        more = materialize(verify(_prefilter(_bridges(met, parts, percent, seed), reps, percent), rows, words, percent), "links")
-        if more.isEmpty():
-            break
-        parts = materialize(merge_components(parts, more), "components")
-
-    comp = F.coalesce("component", "rep").alias("comp")
-    labelled = met.join(parts, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", "rank", comp)
-    heads = met.filter(F.col("rank") < NEAR).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("h"))
-    heads = heads.select("rep", F.transform(F.sequence(F.lit(0), F.lit(NEAR - 1)), lambda i: F.coalesce(F.get("h", i)["token"], F.lit(0))).alias("head"))
-    open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo < hi").select("token", (F.col("many") > TOGETHER).alias("many"))
-    size = _size_class(F.col("n"), percent)
-    labelled = labelled.join(open_, "token").join(reps.select("rep", "bits", "odd", "wide"), "rep").join(heads, "rep")
-    here = lambda c, own: F.struct(c.alias("class"), F.lit(own).alias("own"))
-    places = F.when(F.col("many"), F.array(here(size, True), here(size + 1, False))).otherwise(F.array(here(F.lit(0), True)))
-    dealt = labelled.withColumn("_p", F.explode(places)).select("token", "_p.class", "_p.own", "rep", "n", "pos", "rank", "comp", "bits", "odd", "wide", "head")
-    second = verify(_prefilter(_tree_candidates(dealt, percent), reps, percent), rows, words, percent)
-    parts = merge_components(parts, materialize(second, "links"))
-
-    of_set = firsts.join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    full = slim.filter("n > 0").join(of_set, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(slim.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return row_components(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
