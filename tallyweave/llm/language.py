@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, worker_pass
 
 BUCKETS = 1 << 15
 #: Documents from which the n-gram counts come, at most about.
@@ -38,7 +38,9 @@ SCRIPTS = (
 _STARTS = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({b for _, b in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(b) for _, b in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters only: the general categories L; re's own classes take numbers like ½, ² and Ⅷ for letters. None are beyond plane 1.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _EDGE = "\x01"
 
 
@@ -113,7 +115,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     parts = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(of)) == 0).select("lang", "text").repartition(4)
     counts: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
-    for row in parts.mapInPandas(count, "lang string, counts binary, scripts binary").collect():
+    for row in parts.mapInPandas(worker_pass(count), "lang string, counts binary, scripts binary").collect():
         counts[row.lang] = counts.get(row.lang, 0) + np.frombuffer(row.counts, dtype=np.int32).astype(np.int64)
         scripts[row.lang] = scripts.get(row.lang, 0) + np.frombuffer(row.scripts, dtype=np.int64)
     languages = sorted(counts)
@@ -207,7 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64()), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start int, end int, lang string>>")
+    return rows.mapInArrow(worker_pass(run), "doc_id long, lang_pred string, score double, spans array<struct<start int, end int, lang string>>")
 
 
 def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
