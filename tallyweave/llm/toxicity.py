@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-A lexicon of words and word stems is mined from labelled rows and dealt into many voters;
-pattern voters look at how many hits a text has, how many kinds and how dense they are. A
-generative label model estimates each voter's accuracy from how voters agree over all texts,
-and which voters depend on each other beyond that; posterior labels train a linear classifier,
-whose scores are calibrated on labelled rows.
+A lexicon of words and word stems is mined from labelled rows in disjoint folds: an entry belongs to
+the fold whose rows alone speak for it most, and is one of a few voters of that fold, so no two
+voters share an entry. Beside these lexicon voters, pattern voters look
+at the text itself (capitals, runs of marks, letters hidden by signs, angry address, stretched words)
+and at how hits are spread over lines and kinds. A generative label model estimates each voter's
+accuracy from the centred agreement of voters over all texts, and what pairs agree on beyond the
+label; posterior labels train a linear classifier, whose scores are calibrated on labelled rows.
 """
 
 from __future__ import annotations
@@ -20,18 +22,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, materialize, table
+from .common import crc_mod, documents, materialize, table, worker_pass
 from .labelled import training_rows
 
 #: Labelled rows to mine the lexicon and to calibrate on, and posterior rows to train on, at most about.
 SAMPLE, POSTERIORS = 16_000, 40_000
 STEMS = (5, 6, 8)  # lengths of the stems that count as units beside whole words
-LEXICON, LEAST = 400, 4  # entries at most; toxic rows that an entry needs
-BANKS = 12  # voters that the lexicon is dealt to
-PATTERNS = ("any", "twice", "kinds", "dense", "many")
-VOTERS = BANKS + len(PATTERNS)
+LEAST, RATIO = 4, 30  # toxic rows that an entry needs, and how much more frequent it is in them
+FOLDS, FOLD_LEAST, FOLD_RATIO = 3, 2, 10  # disjoint parts of the labelled rows, and what an entry needs in AGREED of them
+AGREED = 2
+GAIN = 20  # least of (toxic rows) x (log ratio): half the log likelihood ratio, so chance finds among a million units fail
+BANKS = 4 * FOLDS  # lexicon voters
+#: What pattern voters look for in the text, whatever the lexicon holds.
+PATTERNS = {
+    "shouted": r"\b[A-ZÀ-Þ]{3,}(?:[ ,]+[A-ZÀ-Þ]{2,}){2,}",
+    "marks": r"[!?]{2,}",
+    "hidden": r"\b[^\W\d_]+[*@$#]+[^\W\d_]+",
+    "address": r"\b(?:you|your|du|dich|ihr|euch|tu|toi|vous|tú|usted|eres)\b[^.!?\n]{0,60}!",
+    "stretched": r"([^\W\d_])\1{3,}",
+}
+SPREAD = ("kinds", "lines", "dense")
+VOTERS = BANKS + len(PATTERNS) + len(SPREAD)
+WIDTH = BANKS + 4 + len(PATTERNS)  # numbers kept of a text: hits by bank, all, kinds, lines, words, patterns
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
+_PATTERNS = tuple(map(re.compile, PATTERNS.values()))
 
 
 def units(word: str) -> list[str]:
@@ -45,106 +60,151 @@ def _unit_set(text: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    bank: dict[str, int] = field(default_factory=dict)
+    banks: dict[str, int] = field(default_factory=dict)  # each entry's voter
 
     def __post_init__(self):
-        self.heads = {u[:3] for u in self.bank}
-
-    def hits(self, text: str | None) -> tuple[np.ndarray, int, int]:
-        """Hits by bank, distinct words hit, words; a word counts for its longest entry."""
-        words = _WORD.findall((text or "").lower())
-        counts, kinds = np.zeros(BANKS), set()
-        for w in [w for w in words if w[:3] in self.heads]:
-            for u in (w, *(w[:k] + "*" for k in reversed(STEMS) if len(w) > k)):
-                if u in self.bank:
-                    counts[self.bank[u]] += 1
-                    kinds.add(w)
-                    break
-        return counts, len(kinds), len(words)
+        self.heads = {u[:3] for u in self.banks}
+
+    def hits(self, text: str | None) -> np.ndarray:
+        """Hits by bank, all hits, distinct words hit, lines with a hit, words, and matches of each
+        pattern; a word counts for its longest entry."""
+        text = text or ""
+        out, kinds, lines = np.zeros(WIDTH), set(), 0
+        words = 0
+        for line in text.lower().split("\n"):
+            found = _WORD.findall(line)
+            words += len(found)
+            before = out[BANKS]
+            for w in [w for w in found if w[:3] in self.heads]:
+                for u in (w, *(w[:k] + "*" for k in reversed(STEMS) if len(w) > k)):
+                    if u in self.banks:
+                        out[self.banks[u]] += 1
+                        out[BANKS] += 1
+                        kinds.add(w)
+                        break
+            lines += out[BANKS] > before
+        out[BANKS + 1 : BANKS + 4] = len(kinds), lines, words
+        out[BANKS + 4 :] = [sum(1 for _ in p.finditer(text)) for p in _PATTERNS]
+        return out
 
     @staticmethod
-    def features(counts: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> np.ndarray:
-        total = counts.sum(axis=1)
-        return np.column_stack([np.log1p(counts), np.log1p(total), np.log1p(kinds), np.minimum(100 * total / np.maximum(words, 1), 10), total >= 1, total >= 2, total >= 3, kinds >= 2]).astype(float)
+    def features(found: np.ndarray) -> np.ndarray:
+        counts, (total, kinds, lines, words), patterns = found[:, :BANKS], found[:, BANKS : BANKS + 4].T, found[:, BANKS + 4 :]
+        words = np.maximum(words, 1)
+        shares = np.minimum(100 * patterns / words[:, None], 5)
+        return np.column_stack([np.log1p(counts), np.log1p(total), np.log1p(kinds), np.log1p(lines), np.minimum(100 * total / words, 10), np.log1p(1000 * total / words), np.log1p(1000 * kinds / words), total >= 1, total >= 2, kinds >= 2, shares]).astype(float)
 
     @staticmethod
-    def votes(counts: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1 of every voter. Banks speak for toxicity or abstain; patterns may speak against."""
-        total = counts.sum(axis=1)
-        density = 1000 * total / np.maximum(words, 1)
-        rules = [np.where(total >= 1, 1, -1), np.where(total >= 2, 1, -1), np.where(kinds >= 2, 1, -1), np.where(density >= 4, 1, np.where(density < 1, -1, 0)), np.where(total >= 3, 1, np.where(total < 2, -1, 0))]
-        return np.column_stack([np.where(counts >= 1, 1, 0), *rules]).astype(float)
+    def votes(found: np.ndarray) -> np.ndarray:
+        """0 or 1 of every voter, and 1 for the row itself, so that sums of products hold means and counts too."""
+        total, kinds, lines, words = found[:, BANKS : BANKS + 4].T
+        often = 1000 * total / np.maximum(words, 1)
+        spread = np.column_stack([(kinds >= 2) & (often >= 2), (lines >= 2) & (often >= 2), often >= 4])
+        return np.column_stack([found[:, :BANKS] >= 1, found[:, BANKS + 4 :] >= 1, spread, np.ones(len(found))]).astype(float)
 
 
 def mine(rows: DataFrame) -> Lexicon:
-    """Entries whose share of toxic rows is far above the rest's, from labelled rows (text, label).
+    """Every unit whose share of toxic rows is far above the rest's, from labelled rows (doc_id, text, label).
 
-    First the units of toxic rows are counted, then those frequent enough in all rows; tasks send
-    bounded lists. Without toxic rows the lexicon is empty.
+    First the units of toxic rows are counted, then those that enough of them hold in all rows, by
+    fold; what reaches the driver is bounded by the sample. Without toxic rows the lexicon is empty.
     """
+    names = [f"{kind}{f}" for kind in ("toxic", "clean") for f in range(FOLDS)]
 
-    def count(known: dict[str, int] | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found: Counter = Counter()
-            n = [0, 0]
-            for frame in batches:
-                for text, label in zip(frame["text"], frame["label"], strict=True):
-                    n[int(label > 0)] += 1
-                    found.update(u if known is None else (u, int(label > 0)) for u in _unit_set(text or "") if known is None or u in known)
-            if known is None:
-                yield pd.DataFrame({"unit": list(found), "n": list(found.values())}).astype({"unit": "str", "n": "int64"})
-            else:
-                rest = {u for u, _ in found}
-                yield pd.DataFrame({"unit": ["", *rest], "toxic": [n[1], *(found[u, 1] for u in rest)], "clean": [n[0], *(found[u, 0] for u in rest)]})
-
-        return run
-
-    toxic = rows.filter(F.col("label") > 0).mapInPandas(count(None), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    known = {r.unit: 0 for r in toxic.orderBy(F.desc("n"), "unit").limit(50_000).toLocalIterator()}
-    table_ = rows.mapInPandas(count(known), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    n_toxic, n_clean = (max(1, int(table_.loc[table_.unit == "", c].sum())) for c in ("toxic", "clean"))
-    table_ = table_[table_.unit != ""]
-    ratio = np.log((table_.toxic + 0.5) / (n_toxic + 1)) - np.log((table_.clean + 0.5) / (n_clean + 1))
-    table_ = table_.assign(ratio=ratio, gain=table_.toxic * ratio)
-    table_ = table_[(table_.toxic >= LEAST) & (table_.ratio > np.log(10))].sort_values(["gain", "unit"], ascending=[False, True])
-    bank: dict[str, int] = {}
-    for unit in table_.unit:
-        if len(bank) < LEXICON and not any(u in bank for u in units(unit.rstrip("*"))):  # no stem of it is an entry
-            bank[unit] = len(bank) % BANKS
-    return Lexicon(bank)
+    def toxic_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for frame in batches:
+            for text in frame["text"]:
+                found.update(_unit_set(text or ""))
+        yield pd.DataFrame({"unit": list(found), "n": list(found.values())}).astype({"unit": "str", "n": "int64"})
+
+    rows = rows.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(FOLDS)).cast("int").alias("fold"))
+    some = rows.filter(F.col("label") > 0).select("text").mapInPandas(worker_pass(toxic_units), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    known = rows.sparkSession.sparkContext.broadcast(frozenset(r.unit for r in some.select("unit").toLocalIterator()))
+
+    def by_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {"": np.zeros(2 * FOLDS, dtype=np.int64)}  # the empty unit is in every row
+        for frame in batches:
+            for text, label, fold in zip(frame["text"], frame["label"], frame["fold"], strict=True):
+                at = fold if label > 0 else FOLDS + fold
+                for u in ("", *(u for u in _unit_set(text or "") if u in known.value)):
+                    if u not in found:
+                        found[u] = np.zeros(2 * FOLDS, dtype=np.int64)
+                    found[u][at] += 1
+        counts = np.stack(list(found.values()))
+        yield pd.DataFrame({"unit": list(found), **{n: counts[:, i] for i, n in enumerate(names)}})
+
+    sums = rows.mapInPandas(worker_pass(by_fold), ", ".join(["unit string", *(f"{n} long" for n in names)])).groupBy("unit").agg(*[F.sum(n).alias(n) for n in names]).toPandas().sort_values("unit")
+    all_rows = sums.loc[sums.unit == "", names].to_numpy(dtype=float).sum(axis=0)
+    sums = sums[sums.unit != ""]
+    counts = sums[names].to_numpy(dtype=float)
+    toxic, clean = counts[:, :FOLDS], counts[:, FOLDS:]
+
+    def ratio(t: np.ndarray, c: np.ndarray, n_t: np.ndarray, n_c: np.ndarray) -> np.ndarray:
+        return np.log((t + 0.5) / (np.maximum(n_t, 1) + 1)) - np.log((c + 0.5) / (np.maximum(n_c, 1) + 1))
+
+    whole = ratio(toxic.sum(axis=1), clean.sum(axis=1), all_rows[:FOLDS].sum(), all_rows[FOLDS:].sum())
+    of_fold = ratio(toxic, clean, all_rows[:FOLDS], all_rows[FOLDS:])
+    of_fold[(of_fold <= np.log(FOLD_RATIO)) | (toxic < FOLD_LEAST)] = 0
+    good = (toxic.sum(axis=1) * whole >= GAIN) & (toxic.sum(axis=1) >= LEAST) & (whole > np.log(RATIO)) & ((of_fold > 0).sum(axis=1) >= AGREED)
+    order = sorted(np.flatnonzero(good), key=lambda i: (-toxic[i].sum() * whole[i], sums.unit.iloc[i]))
+    banks: dict[str, int] = {}
+    size = [0] * FOLDS
+    for i in order:
+        unit = sums.unit.iloc[i]
+        if not any(u in banks for u in units(unit.rstrip("*"))):  # no stem of it is an entry
+            f = int((toxic[i] * of_fold[i]).argmax())
+            banks[unit] = 4 * f + size[f] % 4
+            size[f] += 1
+    return Lexicon(banks)
 
 
 @dataclass
 class LabelModel:
-    """Posterior log odds are the prior's plus the weighted votes."""
+    """Posterior log odds are a constant plus the weighted votes."""
 
-    prior: float
+    constant: float
     weights: np.ndarray
+    accuracy: np.ndarray  # correlation of each voter with the label
+    beyond: np.ndarray  # correlation of each pair that the label doesn't explain
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.prior + votes @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.constant + votes[:, : len(self.weights)] @ self.weights, -30, 30)))
 
 
-def label_model(second: np.ndarray, n: float, prior: float) -> LabelModel:
-    """Accuracies by triplets of the second moments of votes; dependent voters share their weight.
+def label_model(sums: np.ndarray, prior: float) -> LabelModel:
+    """From the sum over all rows of the outer product of (votes, 1).
 
-    For voters that depend on each other through the label only, E[vi vj] = ai aj, so ai is the
-    median of sqrt(E[vi vj] E[vi vk] / E[vj vk]). A pair that agrees far beyond ai aj is dependent,
-    and each weight is divided by the size of its voter's dependent circle.
+    For standardised voters that depend on each other through the label only, corr(i, j) = ai aj, so ai
+    is the median of sqrt(cij cik / cjk); with a voter's rate it gives how often it votes in either
+    class. What a pair's correlation has beyond ai aj is the voters' own dependence: a voter's evidence
+    is divided by one plus its dependence on all others, so voters that repeat each other count once
+    together. Voters that never differ, or agree with no others, count nothing.
     """
-    moment = second / max(n, 1.0)
-    m = len(moment)
-    scale = np.sqrt(np.maximum(np.diag(moment), 1e-9))
-    agree = moment / np.outer(scale, scale)
-    accuracy = np.full(m, 0.05)
-    for i in range(m):
-        found = [np.sqrt(agree[i, j] * agree[i, k] / agree[j, k]) for j in range(m) for k in range(j) if i not in (j, k) and agree[j, k] > 0.02 and agree[i, j] > 0.02 and agree[i, k] > 0.02]
+    n = max(sums[-1, -1], 1.0)
+    mean = sums[-1, :-1] / n
+    moment = sums[:-1, :-1] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(moment), 0))
+    m = len(mean)
+    c = moment / np.maximum(np.outer(scale, scale), 1e-12)
+    accuracy = np.zeros(m)
+    for i in np.flatnonzero(scale > 1e-4):
+        good = [j for j in range(m) if j != i and scale[j] > 1e-4 and c[i, j] > 0.02]
+        found = [np.sqrt(c[i, j] * c[i, k] / c[j, k]) for j in good for k in good if k < j and c[j, k] > 0.02]
         if found:
-            accuracy[i] = np.clip(np.median(found), 0.05, 0.97)
-    beyond = np.abs(agree - np.outer(accuracy, accuracy)) > 0.25
-    np.fill_diagonal(beyond, True)
-    weights = np.log((1 + accuracy) / (1 - accuracy)) / np.sqrt(beyond.sum(axis=1))
-    return LabelModel(float(np.log(prior / (1 - prior))), weights)
+            accuracy[i] = np.clip(np.median(found), 0, 0.97)
+    left = np.sqrt(1 - accuracy**2)
+    beyond = (c - np.outer(accuracy, accuracy)) / np.outer(left, left)
+    beyond[scale <= 1e-4] = 0
+    beyond[:, scale <= 1e-4] = 0
+    np.fill_diagonal(beyond, 0)
+    beyond = np.clip(beyond, -1, 1)
+    odds = np.sqrt((1 - prior) / prior)
+    toxic = np.clip(mean + accuracy * scale * odds, 1e-3, 1 - 1e-3)
+    clean = np.clip(mean - accuracy * scale / odds, 1e-3, 1 - 1e-3)
+    share = (accuracy > 0) / (1 + np.maximum(beyond, 0).sum(axis=1))
+    told, silent = share * np.log(toxic / clean), share * np.log((1 - toxic) / (1 - clean))
+    return LabelModel(float(np.log(prior / (1 - prior)) + silent.sum()), told - silent, accuracy, beyond)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -160,37 +220,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 3
     return w
 
 
-def _arrays(frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.stack(frame["counts"]) if len(frame) else np.zeros((0, BANKS)), frame["kinds"].to_numpy(dtype=float), frame["words"].to_numpy(dtype=float)
+def _matrix(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack(frame["found"]) if len(frame) else np.zeros((0, WIDTH))
 
 
 def hit_table(docs: DataFrame, lexicon: Lexicon, *beside: str) -> DataFrame:
-    """doc_id, hits by bank, kinds and words of every whole text, and the integer columns ``beside``."""
+    """doc_id, ``found`` (see :meth:`Lexicon.hits`) of every whole text, and the integer columns ``beside``."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    kind = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.hits(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.tolist() for c, _, _ in found], pa.list_(pa.float64())), pa.array([k for _, k, _ in found], pa.int64()), pa.array([w for _, _, w in found], pa.int64()), *[batch.column(c) for c in beside]], names=["doc_id", "counts", "kinds", "words", *beside])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind), *[batch.column(c) for c in beside]], names=["doc_id", "found", *beside])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *beside)
-    return rows.mapInArrow(run, "doc_id long, counts array<double>, kinds long, words long" + "".join(f", {c} int" for c in beside))
+    return rows.mapInArrow(worker_pass(run), "doc_id long, found array<double>" + "".join(f", {c} int" for c in beside))
 
 
-def agreement(hits: DataFrame) -> tuple[np.ndarray, float]:
-    """Sum over all rows of the outer product of votes, and the rows: summed by task, then in 32 groups, then here."""
+def agreement(hits: DataFrame) -> np.ndarray:
+    """Sum over all rows of the outer product of (votes, 1): by task, then by place in the matrix, then here."""
+    m = VOTERS + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((VOTERS, VOTERS)), 0
+        total = np.zeros((m, m))
         for frame in batches:
-            v = Lexicon.votes(*_arrays(frame))
+            v = Lexicon.votes(_matrix(frame))
             total += v.T @ v
-            n += len(v)
-        yield pd.DataFrame({"at": np.arange(VOTERS**2 + 1), "x": [*total.ravel(), float(n)]})
+        yield pd.DataFrame({"at": np.arange(m * m), "x": total.ravel()})
 
-    sums = hits.mapInPandas(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().set_index("at")["x"]
-    flat = sums.reindex(range(VOTERS**2 + 1), fill_value=0.0).to_numpy()
-    return flat[:-1].reshape(VOTERS, VOTERS), float(flat[-1])
+    sums = hits.select("found").mapInPandas(worker_pass(run), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().set_index("at")["x"]
+    return sums.reindex(range(m * m), fill_value=0.0).to_numpy().reshape(m, m)
 
 
 @dataclass
@@ -200,16 +260,15 @@ class Detector:
     slope: float = 1.0
     shift: float = 0.0
 
-    def scores(self, counts: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> np.ndarray:
-        x = Lexicon.features(counts, kinds, words)
-        raw = np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -15, 15)
-        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
+    def raw(self, found: np.ndarray) -> np.ndarray:
+        x = Lexicon.features(found)
+        return np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -15, 15)
+
+    def scores(self, found: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(found) + self.shift, -30, 30)))
 
     def score_texts(self, texts: list[str | None]) -> np.ndarray:
-        found = [self.lexicon.hits(x) for x in texts]
-        if not found:
-            return np.zeros(0)
-        return self.scores(np.stack([c for c, _, _ in found]), np.array([k for _, k, _ in found], dtype=float), np.array([w for _, _, w in found], dtype=float))
+        return self.scores(np.stack([self.lexicon.hits(x) for x in texts])) if texts else np.zeros(0)
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> tuple[Detector, DataFrame]:
@@ -217,21 +276,20 @@ def fit(rows: DataFrame, labels: DataFrame) -> tuple[Detector, DataFrame]:
     labelled = materialize(training_rows(rows, labels, "toxic", 5, 0, SAMPLE).repartition(16), "toxic-training")
     lexicon = mine(labelled)
     hits = materialize(hit_table(rows, lexicon), "toxic-hits")
-    second, n = agreement(hits)
+    sums = agreement(hits)
     known = hit_table(labelled, lexicon, "label").toPandas()
     y = known["label"].to_numpy(dtype=float)
     prior = float(np.clip((y.sum() + 1) / (len(y) + 10), 0.01, 0.5))
-    model = label_model(second, n, prior)
-    of = max(1, -(-int(n) // POSTERIORS))
-    some = hits.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(of)) == 0).select("counts", "kinds", "words").toPandas()
-    detector = Detector(lexicon, np.zeros(Lexicon.features(*_arrays(known[:0])).shape[1] + 1))
-    if not len(some):
-        detector.shift = model.prior
+    model = label_model(sums, prior)
+    of = max(1, -(-int(sums[-1, -1]) // POSTERIORS))
+    some = _matrix(hits.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(of)) == 0).select("found").toPandas())
+    detector = Detector(lexicon, np.zeros(Lexicon.features(some[:0]).shape[1] + 1))
+    if len(some):
+        detector.weights = _logistic(Lexicon.features(some), model.posterior(Lexicon.votes(some)), ridge=1.0)
     else:
-        detector.weights = _logistic(Lexicon.features(*_arrays(some)), model.posterior(Lexicon.votes(*_arrays(some))), ridge=1.0)
+        detector.shift = model.constant
     if len(known) and 0 < y.sum() < len(y):
-        raw = np.clip(np.column_stack([Lexicon.features(*_arrays(known)), np.ones(len(known))]) @ detector.weights, -15, 15)
-        detector.slope, detector.shift = map(float, _logistic(raw[:, None], y))
+        detector.slope, detector.shift = map(float, _logistic(detector.raw(_matrix(known))[:, None], y))
     return detector, hits
 
 
@@ -247,9 +305,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": detector.scores(*_arrays(frame))})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": detector.scores(_matrix(frame))})
 
-    out = hits.mapInPandas(run, "doc_id long, score double")
+    out = hits.mapInPandas(worker_pass(run), "doc_id long, score double")
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -257,8 +315,8 @@ def score_column(detector: Detector, text: str = "text") -> Column:
     """Scores of a column of texts."""
 
     @F.pandas_udf("double")
-    def scores(text: pd.Series) -> pd.Series:
-        return pd.Series(detector.score_texts(list(text)), dtype=float)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return worker_pass(lambda texts: (pd.Series(detector.score_texts(list(x)), dtype=float) for x in texts))(batches)
 
     return scores(text)
 
