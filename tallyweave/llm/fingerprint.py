@@ -3,9 +3,9 @@
 A text is cut at ``\\n`` into paragraphs and each paragraph into sentences and runs of at most
 ``RUN`` words; these leaves tile the text, so equal roots mean equal texts. Paragraphs are
 grouped into sections at blank lines, headings and content-defined cuts, so an insertion
-disturbs only the sections it touches. :func:`fingerprint` is the root followed by the leaf
-codes by section and paragraph; :func:`likeness` compares two of them, :func:`locate_edits`
-descends into differing branches only.
+disturbs only the sections it touches. :func:`fingerprint` is the root followed by the digests
+of all sections, of their paragraphs and of their leaves; :func:`likeness` compares two of them,
+:func:`locate_edits` descends into differing branches only.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from .common import documents
+from .common import documents, worker_pass
 
 RUN = 6
 CODE = 10  # hex digits of a leaf's code in the fingerprint
+NODE = 12  # of a paragraph's and a section's
+ORDER = 0.02  # share of paragraphs, sections and root in the likeness: leaves in another order are not the same text
 SECTION = 16  # paragraphs in a section at most
 _LEAF = re.compile(r"\s*(?:[^\s.!?]*[^\s]\s+){0,%d}?(?:\S*[.!?](?=\s)\s*|\S+\s*$)|\s*(?:\S+\s+){%d}|\s*\S+\s*|\s+" % (RUN - 1, RUN))
 _HEADING = re.compile(r"\s*(#|[A-Z0-9][A-Z0-9 .:-]{2,60}$)")
@@ -50,21 +52,53 @@ def tree(text: str | None) -> list[list[list[bytes]]]:
     return [*sections, current]
 
 
-def fingerprint(text: str | None, branches: list[list[list[bytes]]] | None = None) -> str:
-    """``<root>:<section>;<section>`` with paragraphs joined by ``,`` and leaves run together.
+def _digest(parts: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"\x00".join(parts), digest_size=16).digest()
 
-    Null counts as the empty text. Leaf digests have 64 bits, of which the text form keeps 40;
-    paragraphs, sections and the root are 128-bit BLAKE2 digests of what they hold.
-    """
-    branches = tree(text) if branches is None else branches
-    digest = lambda parts: hashlib.blake2b(b"\x00".join(parts), digest_size=16).digest()
-    root = digest([digest([digest(p) for p in s]) for s in branches]).hex()
-    return root + ":" + ";".join(",".join("".join(x.hex()[:CODE] for x in p) for p in s) for s in branches)
+
+class Print(NamedTuple):
+    """A text's fingerprint, and how often each leaf and each node above the leaves occurs in it."""
+
+    text: str
+    leaves: Counter
+    nodes: Counter
 
 
-def _codes(print_: str) -> list[list[list[str]]]:
-    body = print_.partition(":")[2]
-    return [[[p[i : i + CODE] for i in range(0, len(p), CODE)] for p in s.split(",")] for s in body.split(";")]
+def describe(text: str | None) -> Print:
+    """The fingerprint ``<root>:<section>;<section>``: a section is its digest, ``=`` and its paragraphs joined
+    by ``,``; a paragraph its digest, ``-`` and the codes of its leaves run together.
+
+    Null counts as the empty text. Leaf digests have 64 bits, of which the text form keeps 40;
+    paragraphs, sections and the root are 128-bit BLAKE2 digests of what they hold, of which the
+    text form keeps 48 and the root's all.
+    """
+    leaves_, nodes, above, shown = Counter(), Counter(), [], []
+    for section in tree(text):
+        own = [_digest(p) for p in section]
+        above.append(_digest(own))
+        codes = [[x.hex()[:CODE] for x in p] for p in section]
+        for p in codes:
+            leaves_.update(p)
+        names = [d.hex()[:NODE] for d in own]
+        nodes.update(names)
+        shown.append(above[-1].hex()[:NODE] + "=" + ",".join(f"{n}-{''.join(p)}" for n, p in zip(names, codes, strict=True)))
+    root = _digest(above).hex()
+    nodes.update([*(d.hex()[:NODE] + "=" for d in above), root])
+    return Print(root + ":" + ";".join(shown), leaves_, nodes)
+
+
+def fingerprint(text: str | None) -> str:
+    return describe(text).text
+
+
+def _sections(print_: str) -> list[tuple[str, list[tuple[str, list[str]]]]]:
+    """(digest, paragraphs) of all sections; a paragraph is (digest, leaf codes)."""
+    out = []
+    for section in print_.partition(":")[2].split(";"):
+        name, _, rest = section.partition("=")
+        paragraphs = [p.partition("-") for p in rest.split(",")]
+        out.append((name, [(n, [codes[i : i + CODE] for i in range(0, len(codes), CODE)]) for n, _, codes in paragraphs]))
+    return out
 
 
 def _share(a: Counter, b: Counter) -> float:
@@ -76,12 +110,22 @@ def _share(a: Counter, b: Counter) -> float:
     return 2 * sum(min(n, b[k]) for k, n in a.items() if k in b) / total
 
 
-def likeness(a: str, b: str) -> float:
-    """Shared leaves of two fingerprints, as a Dice share from 0 to 1; equal roots give 1."""
-    if a.partition(":")[0] == b.partition(":")[0]:
+def _alike(a: Print, b: Print) -> float:
+    if a.text[:32] == b.text[:32]:
         return 1.0
-    count = lambda x: Counter(leaf for s in _codes(x) for p in s for leaf in p)
-    return _share(count(a), count(b))
+    return (1 - ORDER) * _share(a.leaves, b.leaves) + ORDER * _share(a.nodes, b.nodes)
+
+
+def _counted(print_: str) -> Print:
+    sections = _sections(print_)
+    nodes = Counter([print_[:32], *(n + "=" for n, _ in sections), *(n for _, ps in sections for n, _ in ps)])
+    return Print(print_, Counter(x for _, ps in sections for _, p in ps for x in p), nodes)
+
+
+def likeness(a: str, b: str) -> float:
+    """Shared leaves of two fingerprints, as a Dice share from 0 to 1, and by ORDER the shared nodes above
+    them; 1 for equal roots only."""
+    return _alike(_counted(a), _counted(b))
 
 
 class Edit(NamedTuple):
@@ -102,16 +146,16 @@ def _differing(a: list, b: list) -> Iterator[tuple[slice, slice]]:
 
 def locate_edits(a: str, b: str) -> list[Edit]:
     """What leads from ``a`` to ``b``: sections, paragraphs and leaves are aligned in order, and only
-    differing stretches are descended into. Leaves that go at one place and come at another have moved."""
+    differing stretches are descended into, from section over paragraph to leaf. Leaves that go at one place and come at another have moved."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return []
-    left, right = ([tuple(tuple(p) for p in s) for s in _codes(x)] for x in (a, b))
-    paragraphs = lambda sections, span: [((i, j), p) for i in range(span.start, span.stop) for j, p in enumerate(sections[i])]
-    in_them = lambda found: [((*at, k), x) for at, p in found for k, x in enumerate((*p, ""))]
+    left, right = _sections(a), _sections(b)
+    paragraphs = lambda sections, span: [((i, j), name, codes) for i in range(span.start, span.stop) for j, (name, codes) in enumerate(sections[i][1])]
+    in_them = lambda found: [((*at, k), x) for at, _, codes in found for k, x in enumerate((*codes, ""))]
     stretches = []  # leaves that go and leaves that come, by stretch
-    for s, t in _differing(left, right):
+    for s, t in _differing([name for name, _ in left], [name for name, _ in right]):
         own, new = paragraphs(left, s), paragraphs(right, t)
-        for p, q in _differing([x for _, x in own], [x for _, x in new]):
+        for p, q in _differing([name for _, name, _ in own], [name for _, name, _ in new]):
             gone, come = in_them(own[p]), in_them(new[q])
             stretches += [(gone[u], come[v]) for u, v in _differing([x for _, x in gone], [x for _, x in come])]
     places = defaultdict(deque)  # of leaves that come, by code
@@ -147,13 +191,11 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple | None = None
     size = 0
 
-    def close(row: tuple, text: str, mark: str, count: Counter) -> tuple:
-        doc_id, own_text, own_mark, own_count = row[1:]
+    def close(row: tuple, text: str, mark: Print) -> tuple:
+        doc_id, own_text, own = row[1:]
         changed = edited(own_text, text)
-        branches = tree(changed)
-        changed_mark = fingerprint(changed, branches)
-        near = 1.0 if changed_mark[:32] == own_mark[:32] else _share(own_count, Counter(x[: CODE // 2] for s in branches for p in s for x in p))
-        return (doc_id, len(own_text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own_mark, changed_mark, near, 1.0 if mark[:32] == own_mark[:32] else _share(own_count, count))
+        other = describe(changed)
+        return (doc_id, len(own_text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.text, other.text, _alike(own, other), _alike(own, mark))
 
     def flush() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
@@ -167,13 +209,11 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"bucket {held[0]} has no row that follows it")
             if borrowed and held is None:  # a second borrowed row: copies of the id that follows
                 continue
-            branches = tree(text)
-            mark = fingerprint(text, branches)
-            count = Counter(x[: CODE // 2] for s in branches for p in s for x in p)
+            mark = describe(text)
             if held is not None:
-                out.append(close(held, text, mark, count))
+                out.append(close(held, text, mark))
                 size += len(out[-1][3]) + len(out[-1][4])
-            held = None if borrowed else (bucket, doc_id, text, mark, count)
+            held = None if borrowed else (bucket, doc_id, text, mark)
             if size > 4_000_000:
                 yield flush()
                 size = 0
@@ -223,7 +263,7 @@ def fingerprint_chain(docs: DataFrame, rows_per_bucket: int = 1000) -> DataFrame
     to = spark.createDataFrame(lenders, "lent long, to_bucket int")
     lent = rows.filter(wanted).join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("lent"))).select("doc_id", "text", F.col("to_bucket").alias("bucket"), F.lit(True).alias("borrowed"))
     dealt = placed.unionByName(lent).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "bucket")
-    return dealt.sortWithinPartitions("bucket", "borrowed", "doc_id", "text").mapInArrow(_stream, SCHEMA)
+    return dealt.sortWithinPartitions("bucket", "borrowed", "doc_id", "text").mapInArrow(worker_pass(_stream), SCHEMA)
 
 
 def op1_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
