@@ -23,7 +23,20 @@ WHITE = r"\x20\x09-\x0D"
 ROWS_PER_SALT = 100_000
 
 
+#: Rows of whole texts that go to a Python worker at once, unless the session says otherwise: ten
+#: thousand, Spark's default, may hold a gigabyte of long texts, in the JVM and in the worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of an Arrow batch to BATCH_ROWS where they are Spark's default."""
+    if int(spark.conf.get(_BATCH)) == 10_000:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,13 +58,17 @@ def _own_scratch() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this process only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_scratch()
+    """spark.checkpoint.dir of the session; where it is unset, a folder of this process in local mode only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "local").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or _own_scratch()
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once into the shared scratch folder and read it back: lineage is cut there,
     a lost executor costs no recomputation, and the planner knows the real size."""
+    small_batches(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/tallyweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, salted_rank, salts_for, worker_cache
+from .common import documents, materialize, salted_rank, salts_for, worker_cache, worker_pass
 from .tokens import WORD_BPE, WordIds
 
 CAPACITY, SEPARATOR = 2048, 0
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WO
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(worker_pass(run, cached=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -205,7 +205,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ranked = salted_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], salts_for(max(counts.values(), default=0)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*pieces.columns, "rank").mapInArrow(look_up, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*pieces.columns, "rank").mapInArrow(worker_pass(look_up), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, crc_mod, documents, materialize, table
+from .common import WHITE, crc_mod, documents, materialize, table, worker_pass
 from .divergence import COMMON_WORDS
 from .labelled import training_rows
 
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()]), pa.array([right.tobytes()])], names=["gram", "right"])
 
     gram, right = np.zeros((FEATURES + d + 1,) * 2), np.zeros(FEATURES + d + 1)
-    for part in rows.filter(F.col("fold") != CALIBRATION).select("x", "label").mapInArrow(sums, "gram binary, right binary").collect():  # eight tasks
+    for part in rows.filter(F.col("fold") != CALIBRATION).select("x", "label").mapInArrow(worker_pass(sums), "gram binary, right binary").collect():  # eight tasks
         gram += np.frombuffer(part.gram).reshape(gram.shape)
         right += np.frombuffer(part.right)
     if not gram[-1, -1]:
@@ -130,8 +130,8 @@ def score_column(model: Classifier, x: str = "x") -> Column:
     """Scores of a column of statistics."""
 
     @F.pandas_udf("double")
-    def scores(x: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.stack(x)) if len(x) else [], dtype=float)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return worker_pass(lambda xs: (pd.Series(model.scores(np.stack(x)) if len(x) else [], dtype=float) for x in xs))(batches)
 
     return scores(x)
 

@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, worker_cache
+from .common import documents, worker_cache, worker_pass
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
-#: Entries of a worker's cache; when it is full it starts anew.
-CACHE = 300_000
+#: Bytes that a worker's cache takes at most; when it is full it starts anew. Longer words are never kept.
+CACHE_BYTES, LONGEST = 32 << 20, 64
+_ENTRY = 210  # bytes of an entry beside its characters
 #: Documents whose pre-tokens decide which ones are frequent, and entries of the table sent to all workers.
 SAMPLE, FREQUENT = 4000, 20_000
 LIMIT = 4096
@@ -42,6 +43,22 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class Cache(dict):
+    """What words come to, within a bound of bytes."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        self.most = self.room = most
+
+    def keep(self, word: str, value) -> None:
+        if len(word) > LONGEST:
+            return
+        self.room -= _ENTRY + 2 * len(word)
+        if self.room < 0:
+            self.clear()
+            self.room = self.most
+        self[word] = value
+
+
 class WordIds:
     """Ids of a lower-casing, white-space-dropping BPE as little-endian unsigned 32-bit bytes.
 
@@ -58,20 +75,19 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known, self.parts = Cache(), Cache(CACHE_BYTES // 2)
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def part(self, part: str) -> bytes:
+        if not part:
+            return b""
         ids = self.parts.get(part)
         if ids is None:
             shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
             ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-            if len(self.parts) >= CACHE:
-                self.parts = {"": b""}
-            self.parts[part] = ids
+            self.parts.keep(part, ids)
         return ids
 
     def word(self, word: str) -> bytes:
@@ -90,12 +106,14 @@ class WordIds:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) >= 2 * CACHE:
-            known.clear()
+        found = []
         for w in words:
-            if w not in known:
-                known[w] = self.word(w)
-        return b"".join([known[w] for w in words])
+            ids = known.get(w)
+            if ids is None:
+                ids = self.word(w)
+                known.keep(w, ids)
+            found.append(ids)
+        return b"".join(found)
 
 
 class PieceCounts:
@@ -113,7 +131,7 @@ class PieceCounts:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(name))
         self.frequent = frequent or {}
-        self.own: dict[str, int] = {}
+        self.own = Cache()
         self.before = len(self.model.encode("\n"))
         self.break_tokens = self.bare("\n")
 
@@ -127,9 +145,7 @@ class PieceCounts:
             n = self.own.get(unit)
             if n is None:
                 n = self.bare(unit)
-                if len(self.own) >= CACHE:
-                    self.own.clear()
-                self.own[unit] = n
+                self.own.keep(unit, n)
         return n
 
     @classmethod
@@ -172,7 +188,7 @@ def frequent_lengths(docs: DataFrame, model: str = PIECE_BPE) -> dict[str, int]:
     of = max(1, -(-docs.count() // SAMPLE))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0).select("text")
     found: Counter = Counter()
-    for row in sample.mapInArrow(_frequent_part, "unit array<string>, n array<long>").collect():
+    for row in sample.mapInArrow(worker_pass(_frequent_part), "unit array<string>, n array<long>").collect():
         found.update(dict(zip(row.unit, row.n, strict=True)))
     counts = PieceCounts(model)
     return {unit: counts.one(unit) for unit, n in found.most_common(FREQUENT) if n > 1}
@@ -199,7 +215,7 @@ def token_counts(docs: DataFrame, model: str = PIECE_BPE, limit: int = LIMIT) ->
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(worker_pass(run, cached=True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

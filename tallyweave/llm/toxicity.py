@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, materialize, table, worker_pass
@@ -35,18 +35,20 @@ GAIN = 20  # least of (toxic rows) x (log ratio): half the log likelihood ratio,
 BANKS = 4 * FOLDS  # lexicon voters
 #: What pattern voters look for in the text, whatever the lexicon holds.
 PATTERNS = {
-    "shouted": r"\b[A-ZÀ-Þ]{3,}(?:[ ,]+[A-ZÀ-Þ]{2,}){2,}",
+    "shouted": r"[A-ZÀ-Þ]{3,}(?:[ ,]+[A-ZÀ-Þ]{2,}){2,}",
     "marks": r"[!?]{2,}",
-    "hidden": r"\b[^\W\d_]+[*@$#]+[^\W\d_]+",
+    "hidden": r"(?<=[^\W\d_])[*@$#]+(?=[^\W\d_])",
     "address": r"\b(?:you|your|du|dich|ihr|euch|tu|toi|vous|tú|usted|eres)\b[^.!?\n]{0,60}!",
-    "stretched": r"([^\W\d_])\1{3,}",
+    "stretched": r"([aeiouAEIOU])\1{3,}",
 }
+#: Characters of which a pattern needs one; without them the text need not be searched.
+_NEEDS = {"marks": "!?", "hidden": "*@$#", "address": "!"}
 SPREAD = ("kinds", "lines", "dense")
 VOTERS = BANKS + len(PATTERNS) + len(SPREAD)
 WIDTH = BANKS + 4 + len(PATTERNS)  # numbers kept of a text: hits by bank, all, kinds, lines, words, patterns
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-_PATTERNS = tuple(map(re.compile, PATTERNS.values()))
+_PATTERNS = tuple((re.compile(p), _NEEDS.get(name, " ")) for name, p in PATTERNS.items())
 
 
 def units(word: str) -> list[str]:
@@ -69,22 +71,19 @@ class Lexicon:
         """Hits by bank, all hits, distinct words hit, lines with a hit, words, and matches of each
         pattern; a word counts for its longest entry."""
         text = text or ""
-        out, kinds, lines = np.zeros(WIDTH), set(), 0
-        words = 0
-        for line in text.lower().split("\n"):
-            found = _WORD.findall(line)
-            words += len(found)
-            before = out[BANKS]
-            for w in [w for w in found if w[:3] in self.heads]:
-                for u in (w, *(w[:k] + "*" for k in reversed(STEMS) if len(w) > k)):
-                    if u in self.banks:
-                        out[self.banks[u]] += 1
-                        out[BANKS] += 1
-                        kinds.add(w)
-                        break
-            lines += out[BANKS] > before
-        out[BANKS + 1 : BANKS + 4] = len(kinds), lines, words
-        out[BANKS + 4 :] = [sum(1 for _ in p.finditer(text)) for p in _PATTERNS]
+        lower = text.lower()
+        words = _WORD.findall(lower)
+        out, kinds = np.zeros(WIDTH), set()
+        for w in [w for w in words if w[:3] in self.heads]:
+            for u in (w, *(w[:k] + "*" for k in reversed(STEMS) if len(w) > k)):
+                if u in self.banks:
+                    out[self.banks[u]] += 1
+                    out[BANKS] += 1
+                    kinds.add(w)
+                    break
+        lines = sum(not kinds.isdisjoint(_WORD.findall(line)) for line in lower.split("\n")) if out[BANKS] > 1 else out[BANKS]
+        out[BANKS + 1 : BANKS + 4] = len(kinds), lines, len(words)
+        out[BANKS + 4 :] = [len(p.findall(text)) if any(c in text for c in needs) else 0 for p, needs in _PATTERNS]
         return out
 
     @staticmethod
@@ -225,17 +224,17 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
 
 
 def hit_table(docs: DataFrame, lexicon: Lexicon, *beside: str) -> DataFrame:
-    """doc_id, ``found`` (see :meth:`Lexicon.hits`) of every whole text, and the integer columns ``beside``."""
+    """doc_id, text_hash, ``found`` (see :meth:`Lexicon.hits`) of every whole text, and the integer columns ``beside``."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     kind = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.hits(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind), *[batch.column(c) for c in beside]], names=["doc_id", "found", *beside])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, kind), *[batch.column(c) for c in beside]], names=["doc_id", "text_hash", "found", *beside])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *beside)
-    return rows.mapInArrow(worker_pass(run), "doc_id long, found array<double>" + "".join(f", {c} int" for c in beside))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", *beside)
+    return rows.mapInArrow(worker_pass(run), "doc_id long, text_hash long, found array<double>" + "".join(f", {c} int" for c in beside))
 
 
 def agreement(hits: DataFrame) -> np.ndarray:
@@ -277,7 +276,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> tuple[Detector, DataFrame]:
     lexicon = mine(labelled)
     hits = materialize(hit_table(rows, lexicon), "toxic-hits")
     sums = agreement(hits)
-    known = hit_table(labelled, lexicon, "label").toPandas()
+    known = hit_table(labelled, lexicon, "label").select("found", "label").toPandas()
     y = known["label"].to_numpy(dtype=float)
     prior = float(np.clip((y.sum() + 1) / (len(y) + 10), 0.01, 0.5))
     model = label_model(sums, prior)
@@ -307,18 +306,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         for frame in batches:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": detector.scores(_matrix(frame))})
 
-    out = hits.mapInPandas(worker_pass(run), "doc_id long, score double")
+    out = hits.select("doc_id", "found").mapInPandas(worker_pass(run), "doc_id long, score double")
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def score_column(detector: Detector, text: str = "text") -> Column:
-    """Scores of a column of texts."""
+def rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and text_hash (xxhash64 of the text) of rows that score ``threshold`` or more, once each."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    detector, hits = fit(rows, labels)
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return worker_pass(lambda texts: (pd.Series(detector.score_texts(list(x)), dtype=float) for x in texts))(batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = np.asarray(batch.column("found").flatten(), dtype=float).reshape(-1, WIDTH)
+                yield batch.select(["doc_id", "text_hash"]).filter(pa.array(detector.scores(found) >= threshold))
 
-    return scores(text)
+    return hits.mapInArrow(worker_pass(run), "doc_id long, text_hash long").distinct()
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
