@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import reasons as R
 from ..functions import scalars as N
 from ..functions import text as T
+from . import decision
 
 #: Labels by field, most trusted first.
 LABELS = {
@@ -33,9 +35,18 @@ ITEM_HEADER = (r"DESCRI[CÇ][AÃ]O", r"PRODUTO", r"DISCRIMINA[CÇ][AÃ]O")
 ITEM_END = (*LABELS["total"][:4], r"OBSERV", r"INFORM", r"TRANSPORTE", r"ICMS", r"FRETE")
 #: Words that are not order numbers though they follow the label.
 NOT_NUMBERS = "N NO NR NUM NUMERO DE DA DO DAS DOS EMITENTE FISCAL NOTA NF NFE INTERNO PEDIDO REF REFERENCIA ORDEM COMPRA COTACAO PROPOSTA º ° Nº N°".split()
+#: Amounts, dates, and in item lines the sequence number and the quantity with its unit.
 MONEY_BR = r"(?<!\d)(?:R\$\s*)?(?:\d{1,3}(?:\.\d{3})+|\d{1,7}),\d{2}(?!\d)"
 MONEY_US = r"(?<!\d)(?:R\$\s*)?(?:\d{1,3}(?:\.\d{3})+|\d{1,7})\.\d{2}(?!\d)"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}\s+DE\s+[A-Z]{3,12}\s+DE\s+\d{4}"
+SEQUENCE = r"^\s*\d{1,4}[\s.)\-]"
+QUANTITY = r"(\d{1,3}(?:\.\d{3})*(?:,\d+)?|\d+(?:,\d+)?)\s*([A-Z0-9]{1,6})?$"
+#: Fixed values of how sure a field was read: by reader with a strong and a weak label, then the factors for a
+#: check that decides nothing, a date of two readings, and a field for which only its own text speaks.
+BASE = {"native": ("0.95", "0.80"), "ocr": ("0.65", "0.55")}
+UNDECIDED, ODD, SHOWN = "0.50", "0.70", "0.85"
+#: Weights of fields in read_score; all others weigh 1.
+WEIGHTS = {"total": 3, "cnpj": 3, "issued": 2, "due": 2}
 #: Lines after a label that may hold its value.
 REACH = 3
 _LABEL = {k: tuple(map(N.ocr_pattern, v)) for k, v in LABELS.items()}
@@ -88,22 +99,31 @@ def _number(form: Column, text: Column, at: Column) -> Column:
 
 
 def find(lines: Column, labels: tuple[str, ...], value: Value) -> Column:
-    """Value of the most trusted label; ``lines`` is an array of struct(form, text)."""
+    """struct(value, rank) of the most trusted label, whose place among the labels is the rank; ``lines``
+    is an array of struct(form, text). One search for any label finds the few lines that are looked at."""
 
     def after(form: Column, label: str) -> Column:
         return F.regexp_instr(form, F.lit(f"({label})")) + F.length(F.regexp_extract(form, f"({label})", 1))
 
-    def beside(label: str) -> Column:
-        return _first(F.transform(lines, lambda x: F.when(x["form"].rlike(label), N.let(after(x["form"], label), lambda at: value(x["form"], x["text"], at)))))
+    def ranked(found: Column, rank: int) -> Column:
+        return N.let(found, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(rank).alias("rank"))))
 
-    def below(label: str) -> Column:
-        def at(x: Column, i: Column) -> Column:
-            rest = F.get(F.filter(F.slice(lines, i + 2, REACH), lambda y: F.trim(y["text"]) != ""), F.lit(0))
-            return F.when(x["form"].rlike(f"(?:{label})[\\s:.|-]*$"), N.let(rest, lambda y: F.when(y.isNotNull(), value(y["form"], y["text"], F.lit(1)))))
+    def search(hits: Column) -> Column:
+        def beside(label: str) -> Column:
+            return _first(F.transform(hits, lambda x: F.when(x["form"].rlike(label), N.let(after(x["form"], label), lambda at: value(x["form"], x["text"], at)))))
 
-        return _first(F.transform(lines, at))
+        def below(label: str) -> Column:
+            def at(x: Column) -> Column:
+                rest = F.get(F.filter(F.slice(lines, x["at"] + 2, REACH), lambda y: F.trim(y["text"]) != ""), F.lit(0))
+                return F.when(x["form"].rlike(f"(?:{label})[\\s:.|-]*$"), N.let(rest, lambda y: F.when(y.isNotNull(), value(y["form"], y["text"], F.lit(1)))))
 
-    return F.coalesce(*map(beside, labels), *map(below, labels))
+            return _first(F.transform(hits, at))
+
+        return F.coalesce(*[ranked(beside(x), i) for i, x in enumerate(labels)], *[ranked(below(x), i) for i, x in enumerate(labels)])
+
+    numbered = F.transform(lines, lambda x, i: F.struct(x["form"].alias("form"), x["text"].alias("text"), i.alias("at")))
+    hits = F.filter(numbered, lambda x: x["form"].rlike("|".join(f"(?:{x})" for x in labels)))
+    return N.let(hits, lambda h: F.when(F.size(h) > 0, search(h)))
 
 
 def access_key(lines: Column) -> Column:
@@ -140,8 +160,7 @@ def items(lines: Column, br: Column) -> Column:
     body = F.when(header > 0, F.slice(lines, header + 1, F.size(lines))).otherwise(F.slice(lines, 1, 0))
     end = F.array_position(F.transform(body, lambda x: x["form"].rlike(some(ITEM_END))), F.lit(True)).cast("int")
     body = F.when(end > 0, F.slice(body, 1, end - 1)).otherwise(body)
-    sequence = r"^\s*\d{1,4}[\s.)\-]"
-    qty = r"(\d{1,3}(?:\.\d{3})*(?:,\d+)?|\d+(?:,\d+)?)\s*([A-Z0-9]{1,6})?$"
+    sequence, qty = SEQUENCE, QUANTITY
 
     def parse(x: Column, i: Column) -> Column:
         form, text = x["form"], x["text"]
@@ -181,36 +200,88 @@ def items(lines: Column, br: Column) -> Column:
     return F.array_compact(F.transform(body, parse))
 
 
-def extract(docs: DataFrame, text: str = "text", message: Column | None = None) -> DataFrame:
+def read_scores(ocr: Column) -> dict[str, Column]:
+    """How sure each field was read, from the columns of :func:`extract`: the label's trust, the field's
+    own check, doubt about its form, and what speaks for it beside. Null where the field is."""
+    c = F.col
+    d = lambda x: F.lit(str(x)).cast("decimal(10,6)")
+    base = lambda strong: F.when(ocr, F.when(strong, d(BASE["ocr"][0])).otherwise(d(BASE["ocr"][1]))).otherwise(F.when(strong, d(BASE["native"][0])).otherwise(d(BASE["native"][1])))
+    sure = F.lit(True)
+
+    def score(there: Column, strong: Column, *factors: Column) -> Column:
+        out = base(strong)
+        for f in factors:
+            out = (out * f).cast("decimal(16,10)")
+        return F.when(there, F.round(out, 4).cast("decimal(6,4)"))
+
+    shown, full, half = d(SHOWN), d(1), d(UNDECIDED)
+    closed = F.coalesce(decision.difference(c("total_cents"), decision.items_sum(c("items")), c("discount_cents"), c("freight_cents")) <= R.SAME_CENTS, F.lit(False))
+    checked = lambda ok: (F.when(ok, full).otherwise(d(0)), F.when(ok, full).otherwise(shown))
+    rank = lambda f, strong: F.coalesce(c("_rank")[f] < strong, F.lit(False))
+    whole = lambda x: x["quantity"].isNotNull() & x["unit_cents"].isNotNull()
+    of_items = F.transform("items", lambda x: F.round((base(sure) * F.when(whole(x), full).otherwise(half) * shown).cast("decimal(16,10)"), 4).cast("decimal(6,4)"))
+    mean = F.aggregate(of_items, F.lit(0).cast("decimal(20,4)"), lambda a, x: (a + x).cast("decimal(20,4)")) / F.size("items")
+    return {
+        "total": score(c("total_cents").isNotNull(), sure, F.when(closed, full).otherwise(half), F.when(closed, full).otherwise(shown)),
+        "cnpj": score(c("issuer_cnpj").isNotNull(), sure, *checked(N.normalize_cnpj("issuer_cnpj")["valid"])),
+        "key": score(c("access_key").isNotNull(), sure, *checked(N.access_key_valid("access_key"))),
+        "issued": score(c("issued").isNotNull(), c("_rank")["issued"].isNotNull(), F.when(c("issued_ambiguous"), d(ODD)).otherwise(full)),
+        "due": score(c("due").isNotNull(), rank("due", 2)),
+        "number": score(c("order_no").isNotNull(), rank("number", len(LABELS["number"]) - 1), shown),
+        "payment": score(c("payment_form").isNotNull(), sure, shown),
+        "issuer": score(c("issuer_name").isNotNull(), rank("issuer", len(LABELS["issuer"])), shown),
+        "discount": score(c("discount_cents").isNotNull(), rank("discount", 2), shown),
+        "freight": score(c("freight_cents").isNotNull(), rank("freight", 2), shown),
+        "notes": score(c("notes").isNotNull(), rank("notes", 4), shown),
+        "items": F.when(F.size("items") > 0, F.round(mean, 4).cast("decimal(6,4)")),
+    }
+
+
+def extract(docs: DataFrame, text: str = "text", message: Column | None = None, ocr: Column | None = None) -> DataFrame:
     """Adds kind, total_cents, access_key, issuer_cnpj, issuer_name, issued, issued_ambiguous, due,
-    order_no, discount_cents, freight_cents, payment_form, notes, items and suspicious_lines.
+    order_no, discount_cents, freight_cents, payment_form, notes, items, suspicious_lines, read_scores
+    (map of field to how sure it was read) and read_score, their weighted mean.
 
     ``message`` marks rows that are chat messages: their one unlabelled date counts as the date
-    of issue. Null text gives nulls, no items and kind ``desconhecido``.
+    of issue. ``ocr`` marks texts that a reader of images gave; names in them are recovered from
+    what such readers confuse. Null text gives nulls, no items, no scores and kind ``desconhecido``.
     """
     message = F.lit(False) if message is None else message
+    ocr = F.lit(False) if ocr is None else F.coalesce(ocr, F.lit(False))
     own = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_lines", F.transform(T.lines_of(F.col(text)), lambda t: F.struct(N.ocr_form(t).alias("form"), t.alias("text"))))
     df = df.withColumn("_br", N.ocr_form(own).rlike(MONEY_BR))
     lines, br = F.col("_lines"), F.col("_br")
-    df = df.withColumn("_issued", find(lines, _LABEL["issued"], _date)).withColumn("_due", find(lines, _LABEL["due"], _date))
+    kinds = {"total": _money(br), "issuer": _free_text, "issued": _date, "due": _date, "number": _number, "discount": _money(br), "freight": _money(br), "payment": _free_text, "notes": _free_text}
+    df = df.withColumn("_found", F.struct(*[find(lines, _LABEL[f], value).alias(f) for f, value in kinds.items()]))
     every = F.array_distinct(F.transform(F.regexp_extract_all(N.ocr_form(own), F.lit(f"({DATE})"), F.lit(1)), lambda d: N.normalize_date(d)["value"]))
     alone = F.when(message & (F.size(every) == 1), F.get(every, F.lit(0)))
-    return df.select(
+    got = lambda f: F.col(f"_found.{f}.value")
+    name = F.when(ocr, N.recover_ocr_text(got("issuer"))).otherwise(got("issuer"))
+    df = df.select(
         *docs.columns,
         T.classify(F.col(text)).alias("kind"),
-        find(lines, _LABEL["total"], _money(br)).alias("total_cents"),
+        got("total").alias("total_cents"),
         access_key(lines).alias("access_key"),
         issuer_cnpj(lines).alias("issuer_cnpj"),
-        find(lines, _LABEL["issuer"], _free_text).alias("issuer_name"),
-        F.coalesce(F.col("_issued.value"), alone).alias("issued"),
-        F.coalesce(F.col("_issued.ambiguous"), F.lit(False)).alias("issued_ambiguous"),
-        F.col("_due.value").alias("due"),
-        N.order_number(find(lines, _LABEL["number"], _number)).alias("order_no"),
-        find(lines, _LABEL["discount"], _money(br)).alias("discount_cents"),
-        find(lines, _LABEL["freight"], _money(br)).alias("freight_cents"),
-        N.payment_form_read(find(lines, _LABEL["payment"], _free_text)).alias("payment_form"),
-        find(lines, _LABEL["notes"], _free_text).alias("notes"),
+        name.alias("issuer_name"),
+        F.coalesce(F.col("_found.issued.value.value"), alone).alias("issued"),
+        F.coalesce(F.col("_found.issued.value.ambiguous"), F.lit(False)).alias("issued_ambiguous"),
+        F.col("_found.due.value.value").alias("due"),
+        N.order_number(got("number")).alias("order_no"),
+        got("discount").alias("discount_cents"),
+        got("freight").alias("freight_cents"),
+        N.payment_form_read(got("payment")).alias("payment_form"),
+        got("notes").alias("notes"),
         items(lines, br).alias("items"),
         T.injection_lines(F.col(text)).alias("suspicious_lines"),
+        F.struct(*[F.col(f"_found.{f}.rank").alias(f) for f in kinds]).alias("_rank"),
     )
+    scores = read_scores(ocr)
+    pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), s.alias("value")) for f, s in scores.items()]), lambda x: x["value"].isNotNull())
+    weight = lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in WEIGHTS.items() for v in kv]), x["key"]), F.lit(1))
+    wide = "decimal(24,4)"
+    total = lambda x: F.aggregate(x, F.lit(0).cast(wide), lambda a, p: (a + p["value"] * weight(p)).cast(wide))
+    df = df.withColumn("_scores", pairs).drop("_rank")
+    mean = F.when(F.size("_scores") > 0, F.round(total(F.col("_scores")) / F.aggregate("_scores", F.lit(0), lambda a, p: a + weight(p)), 4).cast("decimal(6,4)"))
+    return df.withColumn("read_scores", F.map_from_entries("_scores")).withColumn("read_score", mean).drop("_scores")

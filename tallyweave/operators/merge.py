@@ -1,57 +1,118 @@
-"""Evidence about one order made one row, in order of arrival.
+"""Evidence of one order made one row, in order of arrival.
 
 The first row of a group is the order. A later row that contradicts a field changes nothing and
 is a conflict; any other fills what is null, may raise the status, and brings items if there are
 none. Since a field once set never changes, rows equal in all fields share one fate, so a group is
 first reduced to its distinct rows.
+
+A row with an access key meets only rows of that key, whatever issuer they name, so keys are folded
+first, each on its own. All other rows meet within their issuer, where a row without number may
+also look like an order that is there already; for that the states of keyed orders come along.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .identity import group_key, order_base, order_id
 
 FIELDS = ("cents", "cnpj", "issued", "order_no", "access_key")
 RANK = {"rejeitado": 1, "revisao_humana": 2, "auto_aprovado": 3, "validado": 3}
 SCHEMA = "order_id string, first_document string, first_seq long, cents long, cnpj string, issued date, order_no string, access_key string, status string, score double, n_rows long, n_conflicts long, n_near long"
+#: What the fold of one key gives besides: from ``seq`` on its order has these values.
+STATE = "seq long, order_id string, cents long, cnpj string, issued date"
+_ORDER, _STATE = ([x.split()[0] for x in s.split(", ")] for s in (SCHEMA, STATE))
 
 
 def status_rank(status: Column) -> Column:
     return F.coalesce(*[F.when(status == s, F.lit(r)) for s, r in RANK.items()], F.lit(0))
 
 
-def _fold(near_days: int):
-    def one(frame: pd.DataFrame) -> list[dict]:
+def _clean(row: dict) -> dict:
+    return {f: None if pd.isna(row[f]) else row[f] for f in FIELDS}
+
+
+def _started(row: dict, values: dict) -> dict:
+    return {"order_id": row["order_id"], "first_document": row["document_id"], "first_seq": row["seq"], **values, "status": row["status"], "score": row["score"], "n_rows": row["n"], "n_conflicts": 0, "n_near": 0}
+
+
+def _add(order: dict, row: dict, values: dict) -> bool:
+    """Takes a later row into its order; whether a field was filled."""
+    if any(values[f] is not None and order[f] is not None and str(values[f]) != str(order[f]) for f in FIELDS):
+        order["n_conflicts"] += row["n"]
+        return False
+    filled = [f for f in FIELDS if order[f] is None and values[f] is not None]
+    order |= {f: values[f] for f in filled}
+    if RANK.get(row["status"], 0) > RANK.get(order["status"], 0):
+        order["status"] = row["status"]
+    order["score"] = max(order["score"], row["score"])
+    order["n_rows"] += row["n"]
+    return bool(filled)
+
+
+def _by_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come key by key in order of arrival; one order at a time is held. ``kind`` tells orders from states."""
+    order: dict | None = None
+    for frame in batches:
+        out = []
+        for row in frame.to_dict("records"):
+            values = _clean(row)
+            if order is not None and order["access_key"] == values["access_key"]:
+                if not _add(order, row, values):
+                    continue
+            else:
+                if order is not None:
+                    out.append({"kind": "order", **order})
+                order = _started(row, values)
+            out.append({"kind": "state", "seq": row["seq"], **{c: order[c] for c in ("order_id", "cents", "cnpj", "issued")}})
+        yield pd.DataFrame(out, columns=["kind", "seq", *_ORDER], dtype=object)
+    if order is not None:
+        yield pd.DataFrame([{"kind": "order", **order}], columns=["kind", "seq", *_ORDER], dtype=object)
+
+
+def _by_issuer(near_days: int):
+    def fold(frame: pd.DataFrame) -> list[dict]:
         orders: dict[str, dict] = {}
+        by_value: dict = defaultdict(dict)  # of all orders with a date, by cents: order_id to (first seq, date)
+        near: dict[str, int] = defaultdict(int)
+        seen: dict[str, int] = {}
+
+        def know(order: dict, seq: int) -> None:
+            if order["cents"] is not None and order["issued"] is not None:
+                by_value[order["cents"]].setdefault(order["order_id"], (seen[order["order_id"]], order["issued"]))
+
         for row in frame.sort_values("seq").to_dict("records"):
-            values = {f: None if pd.isna(row[f]) else row[f] for f in FIELDS}
-            found = orders.get(row["group"])
-            if found is None and values["order_no"] is None and values["access_key"] is None and None not in (values["cnpj"], values["cents"], values["issued"]):
-                like = [o for o in orders.values() if (o["cnpj"], o["cents"]) == (values["cnpj"], values["cents"]) and o["issued"] is not None and abs((o["issued"] - values["issued"]).days) <= near_days]
-                if like:
-                    like[0]["n_near"] += row["n"]
-                    continue
-            if found is None:
-                orders[row["group"]] = {"order_id": row["order_id"], "first_document": row["document_id"], "first_seq": row["seq"], **values, "status": row["status"], "score": row["score"], "n_rows": row["n"], "n_conflicts": 0, "n_near": 0}
+            if row["kind"] == "state":
+                seen.setdefault(row["order_id"], row["seq"])
+                know({f: None if pd.isna(row[f]) else row[f] for f in ("order_id", "cents", "issued")}, row["seq"])
                 continue
-            if any(values[f] is not None and found[f] is not None and str(values[f]) != str(found[f]) for f in FIELDS):
-                found["n_conflicts"] += row["n"]
+            values, found = _clean(row), orders.get(row["group"])
+            if found is not None:
+                if _add(found, row, values):
+                    know(found, row["seq"])
                 continue
-            for f in FIELDS:
-                found[f] = values[f] if found[f] is None else found[f]
-            if RANK.get(row["status"], 0) > RANK.get(found["status"], 0):
-                found["status"] = row["status"]
-            found["score"] = max(found["score"], row["score"])
-            found["n_rows"] += row["n"]
-        return list(orders.values())
+            if values["order_no"] is None and None not in (values["cnpj"], values["cents"], values["issued"]):
+                like = [(first, i) for i, (first, day) in by_value[values["cents"]].items() if abs((day - values["issued"]).days) <= near_days]
+                if like:
+                    near[min(like)[1]] += row["n"]
+                    continue
+            found = orders[row["group"]] = _started(row, values)
+            seen[found["order_id"]] = row["seq"]
+            if found["cnpj"] is not None:
+                know(found, row["seq"])
+        out = list(orders.values())
+        for o in out:
+            o["n_near"] = near.pop(o["order_id"], 0)
+        return out + [{"order_id": i, "n_near": n} for i, n in near.items()]  # of keyed orders
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(one(frame), columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        return pd.DataFrame(fold(frame), columns=_ORDER, dtype=object)
 
     return run
 
@@ -59,15 +120,24 @@ def _fold(near_days: int):
 def merge_orders(rows: DataFrame, near_days: int = 3) -> DataFrame:
     """One row for each order from (seq, document_id, cents, cnpj, issued, order_no, access_key, status, score).
 
-    Rows that can meet share an issuer, or else a group key; each such set is folded in one
-    task after equal rows were counted together. A row that looks like an order known by
-    issuer, value and date within ``near_days`` starts none. Null status ranks lowest.
+    Keys stream through sorted, so a key of any number of rows is held as one order. Other rows are
+    folded by issuer, or by their group without one, after equal rows were counted together. A row
+    without number that looks like an order of the issuer, known by value and date within
+    ``near_days``, starts none and counts as near the earliest of these. Null status ranks lowest.
     """
     c = F.col
     keyed = rows.withColumn("group", group_key(c("access_key"), c("cnpj"), c("order_no"), c("issued"), c("document_id")))
     keyed = keyed.withColumn("order_id", order_id(order_base(c("access_key"), c("cnpj"), c("order_no"), c("issued"), c("cents"), c("document_id"))))
     same = keyed.groupBy("group", *FIELDS, "status").agg(F.min_by("document_id", "seq").alias("document_id"), F.min_by("order_id", "seq").alias("order_id"), F.min("seq").alias("seq"), F.max(F.col("score").cast("double")).alias("score"), F.count("*").alias("n"))
-    return same.withColumn("_set", F.coalesce("cnpj", "group")).groupBy("_set").applyInPandas(_fold(near_days), SCHEMA)
+    with_key = same.filter("access_key IS NOT NULL").repartition("access_key").sortWithinPartitions("access_key", "seq")
+    folded = staged(with_key.mapInPandas(_by_key, f"kind string, seq long, {SCHEMA}"), "keyed-orders")
+    states = folded.filter("kind = 'state' AND cnpj IS NOT NULL").select("kind", *_STATE)
+    others = same.filter("access_key IS NULL").withColumn("kind", F.lit("row")).unionByName(states, allowMissingColumns=True)
+    rest = others.withColumn("_set", F.coalesce("cnpj", "group")).groupBy("_set").applyInPandas(_by_issuer(near_days), SCHEMA)
+    rest = staged(rest, "other-orders")
+    near = rest.filter("first_seq IS NULL").groupBy(F.col("order_id").alias("_id")).agg(F.sum("n_near").alias("_near"))
+    orders = folded.filter("kind = 'order'").select(*_ORDER).join(near, c("order_id") == c("_id"), "left").withColumn("n_near", F.coalesce("_near", "n_near")).select(*_ORDER)
+    return orders.unionByName(rest.filter("first_seq IS NOT NULL"))
 
 
 def fill_in_order(rows: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import reasons as R
 from ..functions import scalars as N
+from ..sources.staging import staged
 
 OPEN = ("aberta", "em_analise")
 SETTLED = ("auto_aprovado", "validado")
@@ -24,7 +25,7 @@ def upsert_queue(queue: DataFrame, raised: DataFrame) -> DataFrame:
     Both have document_id, order_id, reason, detail, status, opened_at and seq; nulls are equal.
     """
     open_ = queue.filter("status = 'aberta'")
-    newest = raised.groupBy(*KEY).agg(F.max_by("detail", "seq").alias("detail"), F.min("opened_at").alias("opened_at"), F.min("seq").alias("seq"), F.first("status").alias("status"))
+    newest = raised.groupBy(*KEY).agg(F.max_by("detail", "seq").alias("detail"), F.min("opened_at").alias("opened_at"), F.min("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in KEY]
     cond = same[0] & same[1] & same[2]
     o, n = open_.alias("o"), newest.alias("n")
@@ -98,7 +99,9 @@ def apply_decisions(orders: DataFrame, decisions: DataFrame) -> DataFrame:
     """Orders after review, with ``outcome``. Approval needs a value, its own or a corrected one;
     an approved order is not rejected; an approved order without number is numbered by its id."""
     c = F.col
-    d = decisions.select(c("order_id").alias("_id"), decision_label(c("decision")).alias("_d"), c("corrected_cents").alias("_cents"), c("corrected_number").alias("_no")).dropDuplicates(["_id"])
+    d = decisions.select(c("order_id").alias("_id"), decision_label(c("decision")).alias("_d"), c("corrected_cents").alias("_cents"), c("corrected_number").alias("_no"))
+    # Of several decisions on one order, approval counts, then the largest value and number: no order of rows decides.
+    d = d.groupBy("_id").agg(F.min(F.struct(F.coalesce("_d", F.lit("~")).alias("_rank"), (-F.coalesce("_cents", F.lit(0))).alias("_less"), "_d", "_cents", "_no")).alias("s")).select("_id", "s._d", "s._cents", "s._no")
     rows = orders.join(d, c("order_id") == c("_id"), "left")
     cents = F.coalesce("_cents", "cents")
     approve = (c("_d") == "aprovar") & cents.isNotNull()
@@ -120,7 +123,7 @@ def cards_by_root(cards: DataFrame, cut: int = 8) -> DataFrame:
         on = F.col("_up").isNotNull() & ~F.array_contains("seen", F.col("_up"))
         walk = step.select("id", "state", F.when(on, F.col("_up")).otherwise(F.col("root")).alias("root"), F.when(on, F.concat("seen", F.array("_up"))).otherwise(F.col("seen")).alias("seen"), on.alias("_more"))
         if n % cut == 0:
-            walk = walk.localCheckpoint()
+            walk = staged(walk, "chains")
         if walk.filter("_more").isEmpty():
             break
         walk = walk.drop("_more")

@@ -12,6 +12,7 @@ from ..functions import scalars as N
 from ..functions import text as T
 from ..operators import decision, extraction, identity, ledger, merge, review
 from ..sources import envelopes
+from ..sources.staging import shared_folder, staged
 from .fixtures import brl, cents, company, decisions, invoices, padded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,7 +374,8 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open exceptions with order, supplier, risk and age."""
     c = F.col
-    d = _decided(spark, sf_dir).withColumn("order_id", F.concat(F.lit("ped_"), c("order_no")))
+    d = _decided(spark, sf_dir).select("document_id", "o_orderkey", "o_custkey", "order_no", "issuer_cnpj", "total_cents", "issued", "ingest_seq", "source_file", "channel", "reasons")
+    d = staged(d, "decided").withColumn("order_id", F.concat(F.lit("ped_"), c("order_no")))  # decided once, read by four branches
     now = F.lit("2026-03-01 00:00:00").cast("timestamp")
     q = d.select("document_id", F.lit(None).cast("string").alias("order_id"), F.explode_outer("reasons").alias("reason"), F.lit("aberta").alias("status"), F.expr("timestamp'2026-03-01 00:00:00' - make_interval(0, 0, 0, cast(40 + o_orderkey % 7 as int))").alias("opened_at")).filter("reason IS NOT NULL").withColumn("queue_id", F.xxhash64("document_id", "reason"))
     orders = d.select("order_id", "document_id", c("issuer_cnpj").alias("cnpj"), c("total_cents").alias("cents"), "issued", "order_no", c("ingest_seq").alias("seq"))
@@ -417,8 +419,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming.intake import ingest_once
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/tallyweave-streams-{uuid.uuid4().hex}"
-    target = f"{base.rstrip('/')}/events-{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
     for run in (1, 2):  # the second checkpoint is new, so all events are delivered again
         stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -14,7 +13,10 @@ from ..functions import scalars as N
 from ..operators import decision, identity, ledger, merge, review
 from ..operators.extraction import extract
 from ..sources import envelopes, files, sinks
+from ..sources.staging import staged
 
+#: Engines that read images.
+OCR_ENGINES = ("ocr_simulado", "tesseract")
 ARTIFACT = ("channel", "external_id", "kind", "sha", "text", "source_file", "engine", "read_confidence")
 
 
@@ -60,29 +62,22 @@ def artifacts(spark: SparkSession, inbox: str, reader: files.Reader = files.no_r
 
 def examine(registered: DataFrame, reference: Column) -> DataFrame:
     """Fields, scores, status and reasons of artifacts that are not duplicates."""
-    x = extract(registered.filter("NOT duplicate").withColumnRenamed("kind", "artifact_kind"), message=F.col("artifact_kind") == "mensagem")
+    x = registered.filter("NOT duplicate").withColumnRenamed("kind", "artifact_kind").withColumn("ocr", F.coalesce(F.col("engine").isin(*OCR_ENGINES), F.lit(False)))
+    x = extract(x, message=F.col("artifact_kind") == "mensagem", ocr=F.col("ocr"))
     shown = {"total": "total_cents", "cnpj": "issuer_cnpj", "issued": "issued", "due": "due", "number": "order_no", "key": "access_key", "payment": "payment_form"}
     evidence = F.create_map(*[v for f, c in shown.items() for v in (F.lit(f), F.col(c).isNotNull())], F.lit("items"), F.size("items") > 0)
-    x = x.withColumn("evidence", evidence).withColumn("read_scores", F.create_map().cast("map<string,decimal(6,4)>"))
-    x = x.withColumn("ocr", F.coalesce(F.col("engine").isin("ocr_simulado", "tesseract"), F.lit(False)))
+    x = x.withColumn("evidence", evidence)
     x = x.withColumn("raised", F.when(F.size("suspicious_lines") > 0, F.array(F.lit("texto_instrucao_suspeita"))).otherwise(F.array().cast("array<string>")))
     return decision.decide(x, reference).withColumn("document_id", identity.document_id(F.col("sha")))
 
 
-def _staged(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Written once and read back, so numbers given by position stay what they are."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def process(spark: SparkSession, inbox: str, staging: str, reference: str, processed: str, reader: files.Reader = files.no_reader, history: DataFrame | None = None) -> Result:
     """All steps over an inbox. ``reference`` is the day against which dates are plausible and
     ``processed`` the time written into the ledger; ``history`` holds what earlier runs registered.
     ``staging`` is a folder that all executors share, for tables between steps."""
-    arrived = _staged(artifacts(spark, inbox, reader), staging, "artifacts")
-    registered = _staged(identity.register(arrived, history), staging, "registered")
-    seen = _staged(examine(registered, F.lit(reference).cast("date")), staging, "examined")
+    arrived = staged(artifacts(spark, inbox, reader), "artifacts", staging)
+    registered = staged(identity.register(arrived, history), "registered", staging)
+    seen = staged(examine(registered, F.lit(reference).cast("date")), "examined", staging)
     c = F.col
     evidence = seen.select("seq", "document_id", c("total_cents").alias("cents"), c("issuer_cnpj").alias("cnpj"), "issued", "order_no", "access_key", "status", "score")
     merged = merge.merge_orders(evidence)
