@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as N
+from ..sources.staging import staged
 
-#: Letters and digits that a text needs before equal texts count as one document.
+#: Characters between its first and last that a text needs before equal texts count as one document.
 LEAST_TEXT = 200
 
 
@@ -66,25 +69,28 @@ def register(batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
     Needs seq, channel, external_id (null but for messages), kind (pdf, imagem, mensagem), sha and
     text_hash, text. Three barriers: a message known by channel and id, equal bytes, equal text
     of a document of 200 characters or more. ``history`` holds known rows of channel,
-    external_id, sha and text_hash; a row stopped by one barrier never counts for the next.
+    external_id, sha and text_hash; a row stopped by one barrier never counts for the next. ``seq``
+    is the order of arrival and a row's own.
     """
     c = F.col
-    messages = batch.filter(c("external_id").isNotNull())
-    rows = _later(messages, ["channel", "external_id"], "_m").unionByName(batch.filter(c("external_id").isNull()).withColumn("_m", F.lit(False)))
+    eligible = c("kind").isin("pdf", "imagem") & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= LEAST_TEXT)
+    # Hashes and flags only, written once: every barrier reads them several times. Texts join again by seq.
+    keys = staged(batch.select("seq", "channel", "external_id", "sha", "text_hash", F.coalesce(eligible, F.lit(False)).alias("_eligible")), "arrivals")
+    rows = _later(keys.filter("external_id IS NOT NULL"), ["channel", "external_id"], "_m").unionByName(keys.filter("external_id IS NULL").withColumn("_m", F.lit(False)))
     if history is not None:
         known = history.filter("external_id IS NOT NULL").select("channel", "external_id").distinct().withColumn("_k", F.lit(True))
         rows = rows.join(known, ["channel", "external_id"], "left").withColumn("_m", c("_m") | F.coalesce("_k", F.lit(False))).drop("_k")
+    rows = staged(rows, "barrier-messages")
     passed = _later(rows.filter("NOT _m"), ["sha"], "_b")
     if history is not None:
         passed = passed.join(history.select("sha").distinct().withColumn("_k", F.lit(True)), "sha", "left").withColumn("_b", c("_b") | F.coalesce("_k", F.lit(False))).drop("_k")
+    passed = staged(passed, "barrier-bytes")
     fresh = _later(passed.filter("NOT _b"), ["text_hash"], "_t")
     if history is not None:
         fresh = fresh.join(history.select("text_hash").distinct().withColumn("_k", F.lit(True)), "text_hash", "left").withColumn("_t", c("_t") | F.coalesce("_k", F.lit(False))).drop("_k")
-    eligible = c("kind").isin("pdf", "imagem") & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= LEAST_TEXT)
-    cols = batch.columns
-    done = rows.filter("_m").select(*cols, F.lit("mensagem").alias("barrier")).unionByName(passed.filter("_b").select(*cols, F.lit("bytes").alias("barrier")))
-    rest = fresh.select(*cols, F.when(eligible & c("_t"), "texto").alias("barrier"))
-    return done.unionByName(rest).withColumn("duplicate", c("barrier").isNotNull())
+    stopped = [rows.filter("_m").select("seq", F.lit("mensagem").alias("barrier")), passed.filter("_b").select("seq", F.lit("bytes").alias("barrier")), fresh.filter(c("_eligible") & c("_t")).select("seq", F.lit("texto").alias("barrier"))]
+    barriers = functools.reduce(DataFrame.unionByName, stopped)
+    return batch.join(barriers, "seq", "left").select(*batch.columns, "barrier").withColumn("duplicate", c("barrier").isNotNull())
 
 
 def union_readings(readings: DataFrame) -> DataFrame:
