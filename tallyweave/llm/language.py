@@ -39,11 +39,16 @@ _STARTS = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({b for _, b in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(b) for _, b in SCRIPTS])
 #: Letters only: the general categories L; re's own classes take numbers like ½, ² and Ⅷ for letters. None are beyond plane 1.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD, _STRICT, _ODD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+"), re.compile(f"[{_NUMBERS}]")
 _EDGE = "\x01"
 
 
+def _words(text: str) -> re.Pattern:
+    """The pattern of words for this text: the strict one, which is slow, only where numbers may pass for letters."""
+    return _STRICT if not text.isascii() and _ODD.search(text) else _WORD
+
+
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the 2- to 4-grams of every word with its edges, the word of each, and each word's script."""
     codes = np.frombuffer((_EDGE + _EDGE.join(words) + _EDGE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -101,7 +106,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         words: dict[str, Counter] = {}
         for frame in batches:
             for lang, text in zip(frame["lang"], frame["text"], strict=True):
-                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(_words(text).findall(text.lower()))
         for lang, found in words.items():
             counts, scripts = np.zeros(BUCKETS, dtype=np.int64), np.zeros(len(_NAMES), dtype=np.int64)
             if found:
@@ -168,7 +173,7 @@ def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndar
 
 def label_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans as (first character, end, language)) of every text."""
-    places = [[(m.start(), m.end()) for m in _WORD.finditer(x or "")] if model.languages else [] for x in texts]
+    places = [[(m.start(), m.end()) for m in _words(x or "").finditer(x or "")] if model.languages else [] for x in texts]
     index: dict[str, int] = {}
     rows = [[index.setdefault((x or "")[a:b].lower(), len(index)) for a, b in at] for x, at in zip(texts, places, strict=True)]
     full = [i for i, r in enumerate(rows) if r]
