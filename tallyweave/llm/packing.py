@@ -205,7 +205,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ranked = salted_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], salts_for(max(counts.values(), default=0)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*pieces.columns, "rank").mapInArrow(worker_pass(look_up), f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*pieces.columns, "rank").mapInArrow(worker_pass(look_up, cached=True), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE) -> DataFrame:

@@ -19,8 +19,8 @@ from .common import documents, worker_cache, worker_pass
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 #: Bytes that a worker's cache takes at most; when it is full it starts anew. Longer words are never kept.
-CACHE_BYTES, LONGEST = 32 << 20, 64
-_ENTRY = 210  # bytes of an entry beside its characters
+CACHE_BYTES, LONGEST = 64 << 20, 64
+_ENTRY = 190  # bytes of an entry beside its characters
 #: Documents whose pre-tokens decide which ones are frequent, and entries of the table sent to all workers.
 SAMPLE, FREQUENT = 4000, 20_000
 LIMIT = 4096
@@ -44,19 +44,26 @@ def _byte_letters() -> list[str]:
 
 
 class Cache(dict):
-    """What words come to, within a bound of bytes."""
+    """What words come to, within a bound of bytes; when it is full it starts anew."""
 
     def __init__(self, most: int = CACHE_BYTES):
         self.most = self.room = most
 
     def keep(self, word: str, value) -> None:
-        if len(word) > LONGEST:
-            return
-        self.room -= _ENTRY + 2 * len(word)
+        if len(word) <= LONGEST:
+            self[word] = value
+            self.settle((word,))
+
+    def settle(self, added) -> None:
+        """Counts words that were just put in, and drops those that are too long."""
+        for word in added:
+            if len(word) > LONGEST:
+                self.pop(word, None)
+            else:
+                self.room -= _ENTRY + 2 * len(word)
         if self.room < 0:
             self.clear()
             self.room = self.most
-        self[word] = value
 
 
 class WordIds:
@@ -75,7 +82,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known, self.parts = Cache(), Cache(CACHE_BYTES // 2)
+        self.known, self.parts = Cache(), Cache(CACHE_BYTES // 4)
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -106,14 +113,12 @@ class WordIds:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        found = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = self.word(w)
-                known.keep(w, ids)
-            found.append(ids)
-        return b"".join(found)
+        fresh = {w for w in words if w not in known}
+        for w in fresh:
+            known[w] = self.word(w)
+        out = b"".join([known[w] for w in words])
+        known.settle(fresh)
+        return out
 
 
 class PieceCounts:
