@@ -30,13 +30,15 @@ GROUPS = 64
 #: Shares of the capacity from which a length may count as large; the plan with the fewest sequences is taken.
 LARGE = (1 / 4, 2 / 5, 1 / 2)
 ROUNDS = 400
+#: Bytes of words that a worker keeps, and half as much of their parts; they save work only.
+WORD_CACHE = 128 << 20
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE, cache_bytes: int = WORD_CACHE) -> DataFrame:
     """Each text's ids and then the separator, cut every ``capacity`` ids: one row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = worker_cache(f"words {vocabulary}", lambda: WordIds(vocabulary))
+        ids_of = worker_cache(f"words {vocabulary} {cache_bytes}", lambda: WordIds(vocabulary, cache_bytes))
         end, wide = SEPARATOR.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
@@ -208,10 +210,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*pieces.columns, "rank").mapInArrow(worker_pass(look_up, cached=True), f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE, cache_bytes: int = WORD_CACHE) -> DataFrame:
     """Pieces of all documents with their places. Null and empty texts are one separator each;
     repeated rows are packed as often as they come."""
-    return pack(token_pieces(docs, capacity, vocabulary), capacity)
+    return pack(token_pieces(docs, capacity, vocabulary, cache_bytes), capacity)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

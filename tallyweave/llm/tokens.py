@@ -76,13 +76,13 @@ class WordIds:
 
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ʯ]+)([.,;:!?]*)")
 
-    def __init__(self, name: str = WORD_BPE):
+    def __init__(self, name: str = WORD_BPE, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known, self.parts = Cache(), Cache(CACHE_BYTES // 4)
+        self.known, self.parts = Cache(cache_bytes), Cache(cache_bytes // 2)
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
