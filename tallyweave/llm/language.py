@@ -40,13 +40,25 @@ _NAMES = sorted({b for _, b in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(b) for _, b in SCRIPTS])
 #: Letters only: the general categories L; re's own classes take numbers like ½, ² and Ⅷ for letters. None are beyond plane 1.
 _NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD, _STRICT, _ODD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+"), re.compile(f"[{_NUMBERS}]")
+_WORD, _STRICT, _ODD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+"), frozenset(_NUMBERS)
 _EDGE = "\x01"
 
 
 def _words(text: str) -> re.Pattern:
     """The pattern of words for this text: the strict one, which is slow, only where numbers may pass for letters."""
-    return _STRICT if not text.isascii() and _ODD.search(text) else _WORD
+    return _WORD if text.isascii() or _ODD.isdisjoint(text) else _STRICT
+
+
+class _Numbered(dict):
+    """Numbers of words, equal for words of one lower-case form; ``forms`` has those in order."""
+
+    def __init__(self):
+        super().__init__()
+        self.forms: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = self.forms.setdefault(word.lower(), len(self.forms))
+        return number
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +164,9 @@ def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndar
     if hard:
         lengths = np.array([len(scores[i]) for i in hard])
         n = scores[hard[0]].shape[1]
-        state = np.stack([scores[i][0] for i in hard])
+        flat = np.concatenate([scores[i] for i in hard])
+        first = np.cumsum(lengths) - lengths
+        state = flat[first]
         back = []
         for t in range(1, lengths[0]):
             live = int(np.searchsorted(-lengths, -t, "left"))  # texts of more than t words
@@ -161,7 +175,7 @@ def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndar
             leave = now[np.arange(live), top][:, None] - switch
             stay = now >= leave
             back.append(np.where(stay, np.arange(n), top[:, None]).astype(np.int16))
-            state[:live] = np.where(stay, now, leave) + np.stack([scores[i][t] for i in hard[:live]])
+            state[:live] = np.where(stay, now, leave) + flat[first[:live] + t]
         for k, i in enumerate(hard):
             path = np.empty(lengths[k], dtype=np.int64)
             path[-1] = state[k].argmax()
@@ -171,28 +185,34 @@ def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndar
     return paths
 
 
+def _spans(text: str, words: list[str], path: np.ndarray, languages: list[str]) -> list[tuple[int, int, str]]:
+    """Runs of words of one language on the path, as (first character, end, language)."""
+    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+    if len(cuts) == 2:  # from the first word to the last, after which no letter stands
+        return [(text.index(words[0]), text.rindex(words[-1]) + len(words[-1]), languages[path[0]])]
+    at = [m.span() for m in _words(text).finditer(text)]
+    return [(at[a][0], at[b - 1][1], languages[path[a]]) for a, b in zip(cuts, cuts[1:])]
+
+
 def label_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans as (first character, end, language)) of every text."""
-    places = [[(m.start(), m.end()) for m in _words(x or "").finditer(x or "")] if model.languages else [] for x in texts]
-    index: dict[str, int] = {}
-    rows = [[index.setdefault((x or "")[a:b].lower(), len(index)) for a, b in at] for x, at in zip(texts, places, strict=True)]
-    full = [i for i, r in enumerate(rows) if r]
+    words = [_words(x).findall(x) if x and model.languages else [] for x in texts]
+    numbers = _Numbered()
+    rows = [np.array([numbers[w] for w in found]) for found in words]
+    full = [i for i, r in enumerate(words) if r]
     out: list[tuple[str, float, list]] = [(NONE, 0.0, [])] * len(texts)
     if not full:
         return out
-    of_word = model.scores(list(index))
+    of_word = model.scores(list(numbers.forms))
     scores = [of_word[rows[i]] for i in full]
     for i, s, path in zip(full, scores, best_paths(scores), strict=True):
-        at = places[i]
-        letters = np.bincount(path, weights=[b - a for a, b in at], minlength=len(model.languages))
+        letters = np.bincount(path, weights=[len(w) for w in words[i]], minlength=len(model.languages))
         best = int(letters.argmax())
         own = path == best
         margin = s[own].sum(axis=0)
         rest = np.delete(margin[best] - margin, best)
         sure = 1 / (1 + np.exp(-min(30.0, rest.min() / 4))) if len(rest) else 1.0
-        cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-        spans = [(at[a][0], at[b - 1][1], model.languages[path[a]]) for a, b in zip(cuts, cuts[1:])]
-        out[i] = (model.languages[best], float(sure * letters[best] / letters.sum()), spans)
+        out[i] = (model.languages[best], float(sure * letters[best] / letters.sum()), _spans(texts[i], words[i], path, model.languages))
     return out
 
 
