@@ -53,6 +53,20 @@ def ledger(orders: DataFrame, processed: Column) -> DataFrame:
     return rows.select(*[values[c].alias(c) for c in COLUMNS])
 
 
+def carried(new: DataFrame, before: DataFrame) -> DataFrame:
+    """The ledger after a later run. Rows of ``before`` keep their place and the time they were first
+    written with; orders that ``new`` has again take its other values; further orders follow."""
+    c = F.col
+    b = before.select(c("pedido_id").alias("_id"), F.nullif("data_processamento", F.lit("")).alias("_time"), c("row_id_planilha").cast("long").alias("_place"))
+    last = b.agg(F.max("_place")).first()[0] or 1
+    place = F.coalesce("_place", c("row_id_planilha") + last).alias("ingest_seq")
+    again = new.join(b, c("pedido_id") == c("_id"), "left").withColumn("data_processamento", F.coalesce("_time", "data_processamento"))
+    gone = before.join(new.select(c("pedido_id").alias("_id")), c("pedido_id") == c("_id"), "left_anti")
+    cells = [x for x in COLUMNS if x != "row_id_planilha"]
+    rows = again.select(*cells, place).unionByName(gone.select(*cells, c("row_id_planilha").cast("long").alias("ingest_seq")))
+    return _number_rows(rows.withColumn("document_id", c("documento_id"))).select(*COLUMNS)
+
+
 def marks(reasons: Column, cells: dict[str, Column]) -> Column:
     """Map of cell to ok, ausente, leitura, contradicao or ilegivel. ``cells`` has the value of each."""
     unread = F.exists(reasons, lambda r: r.isin(*R.ILLEGIBLE))

@@ -71,6 +71,17 @@ def examine(registered: DataFrame, reference: Column) -> DataFrame:
     return decision.decide(x, reference).withColumn("document_id", identity.document_id(F.col("sha")))
 
 
+def orders_of(evidence: DataFrame, orders: DataFrame) -> DataFrame:
+    """(_of, order_id, _seen) for each ``seq``: its order, and whether an earlier row of the run met that order.
+    Rows that are only near an order have none of their own, and count as having met one."""
+    c = F.col
+    base = identity.order_base(c("access_key"), c("cnpj"), c("order_no"), c("issued"), c("cents"), c("document_id"))
+    rows = evidence.select("seq", identity.group_key(c("access_key"), c("cnpj"), c("order_no"), c("issued"), c("document_id")).alias("_group"), identity.order_id(base).alias("_own"))
+    first = rows.groupBy("_group").agg(F.min("seq").alias("_first"), F.min_by("_own", "seq").alias("order_id")).join(orders.select("order_id"), "order_id", "left_semi")
+    met = rows.select(c("seq").alias("_of"), "_group").join(first, "_group", "left")
+    return met.select("_of", "order_id", F.coalesce(c("_of") > c("_first"), F.lit(True)).alias("_seen"))
+
+
 def process(spark: SparkSession, inbox: str, staging: str, reference: str, processed: str, reader: files.Reader = files.no_reader, history: DataFrame | None = None) -> Result:
     """All steps over an inbox. ``reference`` is the day against which dates are plausible and
     ``processed`` the time written into the ledger; ``history`` holds what earlier runs registered.
@@ -88,7 +99,8 @@ def process(spark: SparkSession, inbox: str, staging: str, reference: str, proce
     queue = queue.join(F.broadcast(R.reason_table(spark)), "reason", "left").select("document_id", "reason", "risk", "description", F.lit("aberta").alias("status"))
     known = registered.select("seq", "channel", "external_id", "sha", "source_file", "engine", "read_confidence", "barrier", "duplicate")
     found = seen.select(c("seq").alias("_seq"), "document_id", c("kind").alias("document_kind"), "status", "score", "reasons", "total_cents", "issuer_cnpj", "order_no")
-    documents = known.join(found, c("seq") == c("_seq"), "left").drop("_seq").withColumn("action", decision.audit_action(c("status"), c("duplicate"), F.lit(False)))
+    found = found.join(orders_of(evidence, merged), c("_seq") == c("_of"), "left").drop("_of")
+    documents = known.join(found, c("seq") == c("_seq"), "left").withColumn("action", decision.audit_action(c("status"), c("duplicate"), F.coalesce("_seen", F.lit(False)))).drop("_seq", "_seen")
     return Result(documents, orders, rows, queue)
 
 
@@ -98,7 +110,7 @@ def publish(result: Result, out: str, run_id: str, recorded: str) -> None:
     sinks.write_ledger(result.ledger, f"{out}/ledger")
     audit = result.documents.select(
         F.lit(run_id).alias("rodada_id"), F.lit(recorded).alias("registrado_em"), c("document_id").alias("documento_id"), c("source_file").alias("arquivo"), c("channel").alias("canal"), c("document_kind").alias("tipo_documento"), c("action").alias("acao"), c("engine").alias("motor"), "status", "score",
-        c("reasons").alias("motivos"), F.lit(None).cast("string").alias("pedido_id"), c("total_cents").alias("valor_total_centavos"), c("issuer_cnpj").alias("emitente_cnpj"), c("order_no").alias("numero_pedido"), c("read_confidence").alias("confianca_leitura"), c("sha").alias("hash_conteudo"),
+        c("reasons").alias("motivos"), c("order_id").alias("pedido_id"), c("total_cents").alias("valor_total_centavos"), c("issuer_cnpj").alias("emitente_cnpj"), c("order_no").alias("numero_pedido"), c("read_confidence").alias("confianca_leitura"), c("sha").alias("hash_conteudo"),
     )
     sinks.write_audit(audit, f"{out}/audit")
     result.queue.write.mode("overwrite").json(f"{out}/queue")

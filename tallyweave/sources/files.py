@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,3 +73,14 @@ def count_deduplicated(spark: SparkSession, path: str | None) -> int | None:
         return None
     audit = spark.read.schema("acao string").json(path)
     return audit.filter(F.lower(F.trim("acao")).isin("deduplicado", "dedupe", "duplicado")).count()
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines of a trail that hold something; 0 where there is no trail yet."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return 0
+        raise
+    return lines.filter(F.trim("value") != "").count()

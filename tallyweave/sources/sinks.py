@@ -5,16 +5,33 @@ from __future__ import annotations
 import html
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ledger as L
+from .staging import staged
+
 AUDIT = (
     "rodada_id", "registrado_em", "documento_id", "arquivo", "canal", "tipo_documento", "acao", "motor", "status", "score", "motivos", "pedido_id", "valor_total_centavos", "emitente_cnpj", "numero_pedido", "confianca_leitura", "hash_conteudo",
 )
 
 
+def read_ledger(like: DataFrame, path: str) -> DataFrame | None:
+    """The ledger that stands at ``path``, or None."""
+    try:
+        return like.sparkSession.read.schema(like.schema).option("header", True).csv(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    """The whole ledger as CSV with a header, replaced at every run."""
+    """The whole ledger as CSV with a header, replaced at every run: what earlier runs wrote is carried on."""
+    before = read_ledger(ledger, path)
+    if before is not None:  # written elsewhere first, since the old one is read and replaced
+        ledger = staged(L.carried(ledger, before), "ledger")
     ledger.write.mode("overwrite").option("header", True).csv(path)
 
 
