@@ -98,6 +98,11 @@ def _number(form: Column, text: Column, at: Column) -> Column:
     return _first(F.transform(tokens, lambda t: F.when(t.rlike("[0-9]") & ~N.ocr_form(t).isin(skip), F.regexp_replace(t, r"[._/-]+$", ""))))
 
 
+def true_label(label: str) -> str:
+    """The label only where it begins its line or a colon follows, not as a word of a sentence."""
+    return rf"(?:^[\s|-]*(?:{label})|(?:{label})(?=[ \t]*:))"
+
+
 def find(lines: Column, labels: tuple[str, ...], value: Value) -> Column:
     """struct(value, rank) of the most trusted label, whose place among the labels is the rank; ``lines``
     is an array of struct(form, text). One search for any label finds the few lines that are looked at."""
@@ -138,17 +143,34 @@ def access_key(lines: Column) -> Column:
     return F.when((at > 0) & (F.length(found) == 44), found)
 
 
+#: Words by which a line speaks of the issuer, and of the other party.
+ISSUER_MARKS = ("EMITENTE", "PRESTADOR", "FORNECEDOR", "VENDEDOR")
+OTHER_PARTY = (r"DESTINAT[AÁ]RIO", "REMETENTE")
+
+
 def issuer_cnpj(lines: Column) -> Column:
-    """The first number after a CNPJ label that stands before the recipient's block, else the first of all."""
-    other = N.ocr_pattern(r"DESTINAT[AÁ]RIO") + "|" + N.ocr_pattern("REMETENTE")
+    """struct(value, at) of the issuer's number after a CNPJ label, ``at`` being its line from 0. Numbers below
+    the first line of the other party count only where none stands above or on it; of those that count,
+    the first on a line that speaks of the issuer is taken, else the first."""
+    other, own = ("|".join(map(N.ocr_pattern, x)) for x in (OTHER_PARTY, ISSUER_MARKS))
     border = F.array_position(F.transform(lines, lambda x: x["form"].rlike(other)), F.lit(True)).cast("int")
     number = r"(\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2})"
     label = _LABEL["cnpj"][0]
+    one = lambda x, i: F.struct(F.nullif(N.digits(F.regexp_extract(x["form"], f"{label}.*?{number}", 1)), F.lit("")).alias("value"), i.alias("at"), x["form"].rlike(own).alias("own"))
+
+    def choose(found: Column) -> Column:
+        above = F.filter(found, lambda x: x["at"] < border)
+        return N.let(F.when((border > 0) & (F.size(above) > 0), above).otherwise(found), lambda y: F.coalesce(F.get(F.filter(y, lambda x: x["own"]), F.lit(0)), F.get(y, F.lit(0))))
+
+    labelled = F.filter(F.transform(lines, one), lambda x: x["value"].isNotNull())
+    return N.let(labelled, choose)
 
-    def of(part: Column) -> Column:
-        return _first(F.transform(part, lambda x: F.when(x["form"].rlike(label), F.nullif(N.digits(F.regexp_extract(x["form"], f"{label}.*?{number}", 1)), F.lit("")))))
 
-    return F.coalesce(F.when(border > 1, of(F.slice(lines, 1, border - 1))), of(lines))
+def name_above(lines: Column, at: Column) -> Column:
+    """The nearest of the two lines above line ``at`` that has no label, three characters and a letter."""
+    near = F.reverse(F.slice(lines, F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2))))
+    fit = F.filter(near, lambda x: ~x["form"].rlike(_ANY_LABEL) & (F.length(F.trim(x["text"])) >= 3) & x["text"].rlike(r"\p{L}"))
+    return F.when(at > 0, F.substring(F.trim(F.get(fit, F.lit(0))["text"]), 1, 200))
 
 
 def items(lines: Column, br: Column) -> Column:
@@ -253,17 +275,21 @@ def extract(docs: DataFrame, text: str = "text", message: Column | None = None,
     df = df.withColumn("_br", N.ocr_form(own).rlike(MONEY_BR))
     lines, br = F.col("_lines"), F.col("_br")
     kinds = {"total": _money(br), "issuer": _free_text, "issued": _date, "due": _date, "number": _number, "discount": _money(br), "freight": _money(br), "payment": _free_text, "notes": _free_text}
-    df = df.withColumn("_found", F.struct(*[find(lines, _LABEL[f], value).alias(f) for f, value in kinds.items()]))
+    df = df.withColumn("_found", F.struct(*[find(lines, tuple(map(true_label, _LABEL[f])) if f == "issuer" else _LABEL[f], value).alias(f) for f, value in kinds.items()]))
+    df = df.withColumn("_cnpj", issuer_cnpj(lines))
     every = F.array_distinct(F.transform(F.regexp_extract_all(N.ocr_form(own), F.lit(f"({DATE})"), F.lit(1)), lambda d: N.normalize_date(d)["value"]))
     alone = F.when(message & (F.size(every) == 1), F.get(every, F.lit(0)))
     got = lambda f: F.col(f"_found.{f}.value")
-    name = F.when(ocr, N.recover_ocr_text(got("issuer"))).otherwise(got("issuer"))
+    named = F.rtrim(F.regexp_replace(got("issuer"), "[.,;]+$", ""))
+    labelled = (F.length(named) >= 3) & named.rlike(r"\p{L}")
+    read = F.when(labelled, named).otherwise(name_above(lines, F.col("_cnpj.at")))
+    name = F.when(ocr, N.recover_ocr_text(read)).otherwise(read)
     df = df.select(
         *docs.columns,
         T.classify(F.col(text)).alias("kind"),
         got("total").alias("total_cents"),
         access_key(lines).alias("access_key"),
-        issuer_cnpj(lines).alias("issuer_cnpj"),
+        F.col("_cnpj.value").alias("issuer_cnpj"),
         name.alias("issuer_name"),
         F.coalesce(F.col("_found.issued.value.value"), alone).alias("issued"),
         F.coalesce(F.col("_found.issued.value.ambiguous"), F.lit(False)).alias("issued_ambiguous"),
@@ -275,7 +301,7 @@ def extract(docs: DataFrame, text: str = "text", message: Column | None = None,
         got("notes").alias("notes"),
         items(lines, br).alias("items"),
         T.injection_lines(F.col(text)).alias("suspicious_lines"),
-        F.struct(*[F.col(f"_found.{f}.rank").alias(f) for f in kinds]).alias("_rank"),
+        F.struct(*[(F.when(labelled, F.col("_found.issuer.rank")) if f == "issuer" else F.col(f"_found.{f}.rank")).alias(f) for f in kinds]).alias("_rank"),
     )
     scores = read_scores(ocr)
     pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), s.alias("value")) for f, s in scores.items()]), lambda x: x["value"].isNotNull())

@@ -142,3 +142,23 @@ def test_files_and_sinks(spark, tmp_path):
         sinks.write_audit(audit, str(tmp_path / "audit"))
     assert files.count_deduplicated(spark, str(tmp_path / "audit")) == 2 and files.count_deduplicated(spark, None) is None
     assert "&lt;b&gt;" in sinks.page("t", {"<b>": 1}, [{"a": "<i>"}])
+
+
+def test_issuer(spark):
+    a, b = "72.973.380/0002-32", "11.222.333/0001-81"
+    texts = [
+        (f"CNPJ: {a}\nFORNECEDOR CNPJ: {b}", b, None),
+        (f"CNPJ: {a}\nREMETENTE\nFORNECEDOR: Casa 2\nVENDEDOR CNPJ {b}", a, "Casa 2"),
+        (f"REMETENTE CNPJ: {b}\nCNPJ: {a}", b, None),
+        (f"REMETENTE\nCNPJ: {a}", a, "REMETENTE"),  # a line without a label, as any other
+        (f"REMETENTE CNPJ\nCNPJ: {a}", a, None),
+        (f"Casa Alfa\n\nCNPJ: {a}", a, "Casa Alfa"),
+        (f"Casa Alfa\nx\ny\nCNPJ: {a}", a, None),
+        (f"Casa Alfa\nTOTAL 5,00\nCNPJ: {a}", a, "Casa Alfa"),
+        (f"Casa Alfa\nFORNECEDOR: 77\nCNPJ: {a}", a, "Casa Alfa"),
+        ("pedimos a segunda via ao fornecedor. Nada mais", None, None),
+        ("- Fornecedor Casa Beta Ltda.", None, "Casa Beta Ltda"),
+    ]
+    got = extract(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "i int, text string")).orderBy("i").collect()
+    digits = lambda x: None if x is None else "".join(c for c in x if c.isdigit())
+    assert [(r.issuer_cnpj, r.issuer_name) for r in got] == [(digits(n), name) for _, n, name in texts]
