@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import reasons as R
 from ..functions import scalars as N
 from ..functions import text as T
-from ..operators import decision, extraction, identity, ledger, merge, review
+from ..operators import decision, extraction, identity, ledger, merge, records, review
 from ..sources import envelopes
 from ..sources.staging import shared_folder, staged
 from .fixtures import brl, cents, company, decisions, invoices, padded, table
@@ -425,3 +425,42 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
         ingest_once(stream.select("event_id", "event_type"), ["event_id"], target, f"{target}-checkpoint-{run}").awaitTermination()
     return spark.read.parquet(target)
+
+
+@query(f"""
+WITH x AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, {_cents('l_extendedprice')} AS u, l_partkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber % 4 = 0 THEN {_cents('l_extendedprice')} END AS t FROM lineitem)
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, q, u) AS INT) AS line, CAST(l_partkey AS VARCHAR) AS description, u AS unit_cents, CAST(coalesce(t, q * u) AS BIGINT) AS total_cents FROM x""")
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item lines of every order, numbered, with totals derived where they are missing."""
+    c = F.col
+    i = table(spark, sf_dir, "lineitem")
+    total = F.when(c("l_linenumber") % 4 == 0, cents("l_extendedprice"))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", c("l_quantity").cast("bigint").cast("decimal(12,4)").alias("quantity"), cents("l_extendedprice").alias("unit_cents"), total.alias("total_cents"), c("l_partkey").cast("string").alias("description"))
+    orders = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items")).withColumnRenamed("l_orderkey", "order_id")
+    return records.item_rows(orders).select(c("order_id").alias("l_orderkey"), "line", "description", "unit_cents", "total_cents")
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'validado' WHEN 'O' THEN 'excecao' WHEN 'P' THEN 'rejeitado' ELSE 'extraido' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'nf' ELSE 'pedido' END AS tipo_doc, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE 'new' END AS texto_norm_sha256 FROM orders""")
+def document_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that take what became of their orders."""
+    c = F.col
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("documento_id"), "o_orderstatus")
+    k = c("documento_id")
+    documents = o.select("documento_id", F.lit("recebido").alias("status"), F.lit("pedido").alias("tipo_doc"), F.when(k % 3 == 0, "old").alias("texto_norm_sha256"), F.lit(None).cast("string").alias("processado_em"))
+    outcome = F.when(c("o_orderstatus") == "F", "auto_aprovado").when(c("o_orderstatus") == "O", "revisao_humana").when(c("o_orderstatus") == "P", "rejeitado")
+    outcomes = o.select("documento_id", outcome.alias("outcome"), F.when(k % 2 == 0, "nf").alias("tipo_doc"), F.lit("new").alias("texto_norm_sha256"), F.lit("t").alias("processado_em"))
+    return records.sync_documents(documents, outcomes).select(k.alias("o_orderkey"), "status", "tipo_doc", "texto_norm_sha256")
+
+
+@query("""SELECT c_custkey, regexp_replace(c_name, '[0-9]+$', '') AS prefix, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS number FROM customer""")
+def natural_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers as prefix and number, by which they sort as people count."""
+    key = records.natural_key(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", key["prefix"].alias("prefix"), key["number"].cast("bigint").alias("number"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || ' /home/ana/notes' ELSE url END LIKE '%/home/ana/notes%' AS traced FROM pages")
+def hygiene_scan_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of machines in pages' addresses, half of which have one planted."""
+    url = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit(" /home/ana/notes"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", (F.size(T.trace_findings(url)) > 0).alias("traced"))
