@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyweave.operators import extraction, merge
@@ -92,3 +93,21 @@ def test_one_order_for_each_key(spark):
     rows = [(1, "d1", 5, "A", None, None, "K", "rejeitado", 0.1), (2, "d2", None, None, dt.date(2026, 1, 1), "9", "K", "auto_aprovado", 0.2), (3, "d3", 5, "B", None, None, "K", None, 0.9)]
     (r,) = merge.merge_orders(spark.createDataFrame(rows, EVIDENCE)).collect()
     assert (r.cnpj, r.order_no, r.status, r.score, r.n_rows, r.n_conflicts) == ("A", "9", "auto_aprovado", 0.2, 2, 1)
+
+
+def test_merge_streams_many_issuers_through_one_call(spark):
+    """Issuers follow one another in a stream, one call for all of them; a set may go on in the next batch."""
+    rows = [{"_set": f"c{i // 3:05}", "kind": "row", "group": f"g{i // 3}" if i % 3 < 2 else f"h{i}", "seq": i, "document_id": f"d{i}", "order_id": f"o{i}", "cents": 100 + i // 3, "cnpj": f"c{i // 3:05}", "issued": dt.date(2026, 3, 1 + i % 3), "order_no": None if i % 3 == 2 else "1", "access_key": None, "status": None, "score": 0.5, "n": 1} for i in range(3 * 2000)]
+    for r in rows:
+        r["issued"] = r["issued"] if r["seq"] % 3 == 2 else dt.date(2026, 3, 1)
+    table = pa.Table.from_pylist(rows, pa.schema([(k, {str: pa.string(), int: pa.int64(), float: pa.float64(), dt.date: pa.date32(), type(None): pa.string()}[type(v)]) for k, v in rows[0].items()]))
+    got = pa.Table.from_batches(merge._by_issuer(3)(iter(table.to_batches(max_chunksize=700)))).to_pylist()
+    assert len(got) == 2000 and all((r["n_rows"], r["n_conflicts"], r["n_near"], r["first_seq"] % 3) == (2, 0, 1, 0) for r in got)
+
+
+def test_merge_keeps_large_values_beside_nulls(spark):
+    large = 2**53 + 1
+    day = dt.date(2026, 1, 1)
+    rows = [(1, "d1", large, "A", day, "9", None, None, 0.1), (2, "d2", None, "A", day, "9", None, None, 0.2), (3, "d3", large - 1, "A", day, "9", None, None, 0.3), (4, "k1", None, "A", day, None, "K", None, 0.1), (5, "k2", large, "A", day, None, "K", None, 0.2)]
+    got = {r.first_document: r for r in merge.merge_orders(spark.createDataFrame(rows, EVIDENCE)).collect()}
+    assert {k: (r.cents, r.n_rows, r.n_conflicts) for k, r in got.items()} == {"d1": (large, 2, 1), "k1": (large, 2, 0)}
