@@ -1,225 +1,26 @@
-"""Fields of invoices, orders and messages from their text, as expressions over arrays of lines.
+"""Fields of invoices, orders and messages from their text, and how sure they were read.
 
-A line has its own text and its OCR form, which agree position by position. A field has a list
-of labels in order of trust: the value is looked for on a line that holds the first label, then
-the second and so on; only then on the first non-blank line after a label that ends its line.
+Lines are read in Python by :mod:`.reading`, one pass for each text; what is normalised, checked
+and scored after that are expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reasons as R
 from ..functions import scalars as N
 from ..functions import text as T
-from . import decision
+from . import decision, reading
+from .reading import LABELS
 
-#: Labels by field, most trusted first.
-LABELS = {
-    "total": (r"VALOR\s+TOTAL\s+DA\s+NOTA", r"VALOR\s+TOTAL\s+DO\s+DOCUMENTO", r"TOTAL\s+A\s+PAGAR", r"VALOR\s+TOTAL\s+GERAL", r"VALOR\s+TOTAL", r"TOTAL\s+GERAL", r"\bTOTAL\b", r"\bVALOR\b"),
-    "key": (r"CHAVE\s+DE\s+ACESSO",),
-    "cnpj": (r"CNPJ",),
-    "issued": (r"DATA\s+D[AE]\s+EMISS[AÃ]O", r"EMISS[AÃ]O\s+EM", r"EMITID[OA]\s+EM", r"EMITIDA?\s+EM", r"EMISS[AÃ]O"),
-    "due": (r"DATA\s+DE\s+VENCIMENTO", r"VENCIMENTO", r"VENCE\s+EM"),
-    "number": (r"N[º°O]?\s*D[OE]\s*PEDIDO", r"PEDIDO\s*N[º°O]?", r"N[ÚU]MERO\s*D[OE]\s*PEDIDO", r"N[ÚU]MERO\s*DA\s*NF", r"N[ÚU]MERO\s*D[OA]\s*NOTA", r"NOTA\s+FISCAL\s*N[º°O]?", r"NF\s*N[º°O]?", r"PEDIDO"),
-    "issuer": (r"RAZ[AÃ]O\s+SOCIAL", r"NOME\s+EMPRESARIAL", r"NOME\s*/?\s*RAZ[AÃ]O", r"EMITENTE", r"FORNECEDOR", r"PRESTADOR", r"VENDEDOR"),
-    "discount": (r"VALOR\s+DO\s+DESCONTO", r"DESCONTO"),
-    "freight": (r"VALOR\s+DO\s+FRETE", r"FRETE"),
-    "payment": (r"FORMA\s+DE\s+PAGAMENTO", r"CONDI[CÇ][AÃ]O\s+DE\s+PAGAMENTO", r"MEIO\s+DE\s+PAGAMENTO", r"PAGAMENTO"),
-    "notes": (r"OBSERVA[CÇ][OÕ]ES", r"OBSERVA[CÇ][AÃ]O", r"OBS"),
-}
-ITEM_HEADER = (r"DESCRI[CÇ][AÃ]O", r"PRODUTO", r"DISCRIMINA[CÇ][AÃ]O")
-ITEM_END = (*LABELS["total"][:4], r"OBSERV", r"INFORM", r"TRANSPORTE", r"ICMS", r"FRETE")
-#: Words that are not order numbers though they follow the label.
-NOT_NUMBERS = "N NO NR NUM NUMERO DE DA DO DAS DOS EMITENTE FISCAL NOTA NF NFE INTERNO PEDIDO REF REFERENCIA ORDEM COMPRA COTACAO PROPOSTA º ° Nº N°".split()
-#: Amounts, dates, and in item lines the sequence number and the quantity with its unit.
-MONEY_BR = r"(?<!\d)(?:R\$\s*)?(?:\d{1,3}(?:\.\d{3})+|\d{1,7}),\d{2}(?!\d)"
-MONEY_US = r"(?<!\d)(?:R\$\s*)?(?:\d{1,3}(?:\.\d{3})+|\d{1,7})\.\d{2}(?!\d)"
-DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}\s+DE\s+[A-Z]{3,12}\s+DE\s+\d{4}"
-SEQUENCE = r"^\s*\d{1,4}[\s.)\-]"
-QUANTITY = r"(\d{1,3}(?:\.\d{3})*(?:,\d+)?|\d+(?:,\d+)?)\s*([A-Z0-9]{1,6})?$"
 #: Fixed values of how sure a field was read: by reader with a strong and a weak label, then the factors for a
 #: check that decides nothing, a date of two readings, and a field for which only its own text speaks.
 BASE = {"native": ("0.95", "0.80"), "ocr": ("0.65", "0.55")}
 UNDECIDED, ODD, SHOWN = "0.50", "0.70", "0.85"
 #: Weights of fields in read_score; all others weigh 1.
 WEIGHTS = {"total": 3, "cnpj": 3, "issued": 2, "due": 2}
-#: Lines after a label that may hold its value.
-REACH = 3
-_LABEL = {k: tuple(map(N.ocr_pattern, v)) for k, v in LABELS.items()}
-_ANY_LABEL = "|".join(sorted({p for k, v in _LABEL.items() if k != "notes" for p in v}, key=len, reverse=True))
-Value = Callable[[Column, Column, Column], Column]  # (OCR form, text, position after the label) -> value or null
-
-
-def _first(values: Column) -> Column:
-    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
-
-
-def money_tokens(form: Column, pattern: Column) -> Column:
-    return F.when(pattern, F.regexp_extract_all(form, F.lit(f"({MONEY_BR})"), F.lit(1))).otherwise(F.regexp_extract_all(form, F.lit(f"({MONEY_US})"), F.lit(1)))
-
-
-def _or_last(tail: Column, line: Column) -> Column:
-    """The first token after the label, else the last one of the line."""
-    return F.coalesce(F.get(tail, F.lit(0)), F.try_element_at(line, F.lit(-1)))
-
-
-def _money(br: Column) -> Value:
-    def value(form: Column, text: Column, at: Column) -> Column:
-        # A token may not begin within a number, so the tail keeps the character before it.
-        token = _or_last(money_tokens(F.substring(form, F.greatest(at - 1, F.lit(1)), F.length(form)), br), money_tokens(form, br))
-        return N.let(token, N.money_cents)
-
-    return value
-
-
-def _date(form: Column, text: Column, at: Column) -> Column:
-    found = lambda x: F.regexp_extract_all(x, F.lit(f"({DATE})"), F.lit(1))
-    got = N.normalize_date(_or_last(found(F.substring(form, at, F.length(form))), found(form)))
-    return N.let(got, lambda g: F.when(g["value"].isNotNull(), g))
-
-
-def _until_label(form: Column, text: Column, at: Column) -> Column:
-    end = F.regexp_instr(F.substring(form, at, F.length(form)), F.lit(f"({_ANY_LABEL})"))
-    part = N.let(end, lambda e: F.substring(text, at, F.when(e > 0, e - 1).otherwise(F.length(text))))
-    return F.regexp_replace(part, r"^[ :\t\-|]+|[ :\t\-|]+$", "")
-
-
-def _free_text(form: Column, text: Column, at: Column) -> Column:
-    return N.let(_until_label(form, text, at), lambda v: F.when((F.length(v) >= 2) & v.rlike(r"[\p{L}\p{N}]"), F.substring(v, 1, 200)))
-
-
-def _number(form: Column, text: Column, at: Column) -> Column:
-    skip = [N.ocr_pattern(w) for w in NOT_NUMBERS]
-    tokens = F.regexp_extract_all(F.upper(F.substring(text, at, F.length(text))), F.lit(r"([A-Z0-9][A-Z0-9._/-]{1,29})"), F.lit(1))
-    return _first(F.transform(tokens, lambda t: F.when(t.rlike("[0-9]") & ~N.ocr_form(t).isin(skip), F.regexp_replace(t, r"[._/-]+$", ""))))
-
-
-def true_label(label: str) -> str:
-    """The label only where it begins its line or a colon follows, not as a word of a sentence."""
-    return rf"(?:^[\s|-]*(?:{label})|(?:{label})(?=[ \t]*:))"
-
-
-def find(lines: Column, labels: tuple[str, ...], value: Value) -> Column:
-    """struct(value, rank) of the most trusted label, whose place among the labels is the rank; ``lines``
-    is an array of struct(form, text). One search for any label finds the few lines that are looked at."""
-
-    def after(form: Column, label: str) -> Column:
-        return F.regexp_instr(form, F.lit(f"({label})")) + F.length(F.regexp_extract(form, f"({label})", 1))
-
-    def ranked(found: Column, rank: int) -> Column:
-        return N.let(found, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(rank).alias("rank"))))
-
-    def search(hits: Column) -> Column:
-        def beside(label: str) -> Column:
-            return _first(F.transform(hits, lambda x: F.when(x["form"].rlike(label), N.let(after(x["form"], label), lambda at: value(x["form"], x["text"], at)))))
-
-        def below(label: str) -> Column:
-            def at(x: Column) -> Column:
-                rest = F.get(F.filter(F.slice(lines, x["at"] + 2, REACH), lambda y: F.trim(y["text"]) != ""), F.lit(0))
-                return F.when(x["form"].rlike(f"(?:{label})[\\s:.|-]*$"), N.let(rest, lambda y: F.when(y.isNotNull(), value(y["form"], y["text"], F.lit(1)))))
-
-            return _first(F.transform(hits, at))
-
-        return F.coalesce(*[ranked(beside(x), i) for i, x in enumerate(labels)], *[ranked(below(x), i) for i, x in enumerate(labels)])
-
-    numbered = F.transform(lines, lambda x, i: F.struct(x["form"].alias("form"), x["text"].alias("text"), i.alias("at")))
-    hits = F.filter(numbered, lambda x: x["form"].rlike("|".join(f"(?:{x})" for x in labels)))
-    return N.let(hits, lambda h: F.when(F.size(h) > 0, search(h)))
-
-
-def access_key(lines: Column) -> Column:
-    """The first 44 digits from the label on, over lines that hold nothing else."""
-    label = _LABEL["key"][0]
-    at = F.array_position(F.transform(lines, lambda x: x["form"].rlike(label)), F.lit(True)).cast("int")
-    tail = F.slice(lines, at, 5)
-    own = F.regexp_replace(F.get(tail, F.lit(0))["form"], f"^.*?{label}", "")
-    more = F.transform(F.slice(tail, 2, 4), lambda x: F.when(x["form"].rlike(r"^[\d\s.\-]+$"), x["form"]).otherwise(F.lit("|")))
-    joined = F.split(F.concat_ws(" ", own, F.array_join(more, " ")), r"\|")
-    found = F.substring(N.digits(F.get(joined, F.lit(0))), 1, 44)
-    return F.when((at > 0) & (F.length(found) == 44), found)
-
-
-#: Words by which a line speaks of the issuer, and of the other party.
-ISSUER_MARKS = ("EMITENTE", "PRESTADOR", "FORNECEDOR", "VENDEDOR")
-OTHER_PARTY = (r"DESTINAT[AÁ]RIO", "REMETENTE")
-
-
-def issuer_cnpj(lines: Column) -> Column:
-    """struct(value, at) of the issuer's number after a CNPJ label, ``at`` being its line from 0. Numbers below
-    the first line of the other party count only where none stands above or on it; of those that count,
-    the first on a line that speaks of the issuer is taken, else the first."""
-    other, own = ("|".join(map(N.ocr_pattern, x)) for x in (OTHER_PARTY, ISSUER_MARKS))
-    border = F.array_position(F.transform(lines, lambda x: x["form"].rlike(other)), F.lit(True)).cast("int")
-    number = r"(\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2})"
-    label = _LABEL["cnpj"][0]
-    one = lambda x, i: F.struct(F.nullif(N.digits(F.regexp_extract(x["form"], f"{label}.*?{number}", 1)), F.lit("")).alias("value"), i.alias("at"), x["form"].rlike(own).alias("own"))
-
-    def choose(found: Column) -> Column:
-        above = F.filter(found, lambda x: x["at"] < border)
-        return N.let(F.when((border > 0) & (F.size(above) > 0), above).otherwise(found), lambda y: F.coalesce(F.get(F.filter(y, lambda x: x["own"]), F.lit(0)), F.get(y, F.lit(0))))
-
-    labelled = F.filter(F.transform(lines, one), lambda x: x["value"].isNotNull())
-    return N.let(labelled, choose)
-
-
-def name_above(lines: Column, at: Column) -> Column:
-    """The nearest of the two lines above line ``at`` that has no label, three characters and a letter."""
-    near = F.reverse(F.slice(lines, F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2))))
-    fit = F.filter(near, lambda x: ~x["form"].rlike(_ANY_LABEL) & (F.length(F.trim(x["text"])) >= 3) & x["text"].rlike(r"\p{L}"))
-    return F.when(at > 0, F.substring(F.trim(F.get(fit, F.lit(0))["text"]), 1, 200))
-
-
-def items(lines: Column, br: Column) -> Column:
-    """Array of struct(line, description, quantity, unit, unit_cents, total_cents) between the item
-    header and the first line that ends the table. A line needs two amounts, or one, or a sequence
-    number; a quantity needs a unit or two spaces before it; what is missing stays null."""
-    some = lambda patterns: "|".join(map(N.ocr_pattern, patterns))
-    header = F.array_position(F.transform(lines, lambda x: x["form"].rlike(some(ITEM_HEADER))), F.lit(True)).cast("int")
-    body = F.when(header > 0, F.slice(lines, header + 1, F.size(lines))).otherwise(F.slice(lines, 1, 0))
-    end = F.array_position(F.transform(body, lambda x: x["form"].rlike(some(ITEM_END))), F.lit(True)).cast("int")
-    body = F.when(end > 0, F.slice(body, 1, end - 1)).otherwise(body)
-    sequence, qty = SEQUENCE, QUANTITY
-
-    def parse(x: Column, i: Column) -> Column:
-        form, text = x["form"], x["text"]
-        lone = form.rlike(r"^\D*\d{0,4}\D[^,]*,\d{2}\s+[A-Z0-9]{1,6}\s*$")  # one number and its unit: no amount
-
-        def amounts(tokens: Column) -> Column:
-            n = F.when(lone & (F.size(tokens) == 1), F.lit(0)).otherwise(F.size(tokens))
-            pair = F.length(form) - F.length(F.regexp_extract(form, r"((?:R\$\s*)?[\d.,]+\s+(?:R\$\s*)?[\d.,]+\s*)$", 1))
-            cut = F.when(n >= 2, pair).when(n == 1, F.instr(form, F.get(tokens, F.lit(0))) - 1).otherwise(F.length(form))
-            return F.struct(n.alias("n"), cut.alias("cut"), F.when(n >= 1, F.try_element_at(tokens, F.lit(-1))).alias("total"), F.when(n >= 2, F.try_element_at(tokens, F.lit(-2))).alias("unit"))
-
-        def cut(m: Column) -> Column:
-            return F.struct(m["n"].alias("n"), m["total"].alias("total"), m["unit"].alias("unit"), F.rtrim(F.substring(form, F.lit(1), m["cut"])).alias("f"), F.rtrim(F.substring(text, F.lit(1), m["cut"])).alias("t"))
-
-        def counted(p: Column) -> Column:
-            at = F.regexp_instr(p["f"], F.lit(f"({qty})"))
-            own = F.regexp_extract(p["f"], qty, 2)
-            good = (at > 0) & ((own != "") | (at == 1) | (F.substring(p["f"], at - 2, F.lit(2)) == "  "))
-            return F.struct(p.alias("p"), good.alias("good"), own.alias("own"), F.regexp_extract(p["f"], qty, 1).alias("amount"), F.length(F.regexp_extract(p["f"], f"({qty})", 1)).alias("tail"))
-
-        def out(q: Column) -> Column:
-            p = q["p"]
-            name = F.when(q["good"], F.rtrim(F.substring(p["t"], F.lit(1), F.length(p["t"]) - q["tail"]))).otherwise(p["t"])
-            name = F.regexp_replace(F.regexp_replace(name, sequence, ""), r"^[ |\t]+|[ |\t]+$", "")
-            row = lambda d: F.when(
-                F.when(p["n"] == 0, form.rlike(sequence) & (F.length(d) >= 3)).otherwise(F.length(d) >= 2),
-                F.struct(
-                    (i + 1).alias("line"), F.substring(d, 1, 200).alias("description"), F.when(q["good"], N.quantity(q["amount"])).alias("quantity"),
-                    F.when(q["good"] & (q["own"] != ""), F.upper(F.right(p["t"], F.length(q["own"])))).alias("unit"), N.money_cents(p["unit"]).alias("unit_cents"), N.money_cents(p["total"]).alias("total_cents"),
-                ),
-            )
-            return N.let(name, row)
-
-        parsed = N.let(N.let(N.let(N.let(money_tokens(form, br), amounts), cut), counted), out)
-        return F.when(F.trim(text) != "", parsed)
-
-    return F.array_compact(F.transform(body, parse))
 
 
 def read_scores(ocr: Column) -> dict[str, Column]:
@@ -270,38 +71,27 @@ def extract(docs: DataFrame, text: str = "text", message: Column | None = None,
     """
     message = F.lit(False) if message is None else message
     ocr = F.lit(False) if ocr is None else F.coalesce(ocr, F.lit(False))
-    own = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_lines", F.transform(T.lines_of(F.col(text)), lambda t: F.struct(N.ocr_form(t).alias("form"), t.alias("text"))))
-    df = df.withColumn("_br", N.ocr_form(own).rlike(MONEY_BR))
-    lines, br = F.col("_lines"), F.col("_br")
-    kinds = {"total": _money(br), "issuer": _free_text, "issued": _date, "due": _date, "number": _number, "discount": _money(br), "freight": _money(br), "payment": _free_text, "notes": _free_text}
-    df = df.withColumn("_found", F.struct(*[find(lines, tuple(map(true_label, _LABEL[f])) if f == "issuer" else _LABEL[f], value).alias(f) for f, value in kinds.items()]))
-    df = df.withColumn("_cnpj", issuer_cnpj(lines))
-    every = F.array_distinct(F.transform(F.regexp_extract_all(N.ocr_form(own), F.lit(f"({DATE})"), F.lit(1)), lambda d: N.normalize_date(d)["value"]))
-    alone = F.when(message & (F.size(every) == 1), F.get(every, F.lit(0)))
-    got = lambda f: F.col(f"_found.{f}.value")
-    named = F.rtrim(F.regexp_replace(got("issuer"), "[.,;]+$", ""))
-    labelled = (F.length(named) >= 3) & named.rlike(r"\p{L}")
-    read = F.when(labelled, named).otherwise(name_above(lines, F.col("_cnpj.at")))
-    name = F.when(ocr, N.recover_ocr_text(read)).otherwise(read)
+    read_all = F.arrow_udf(lambda texts, messages: reading.read_all(texts, messages), reading.RESULT)
+    df = docs.withColumn("_read", read_all(F.col(text), F.coalesce(message, F.lit(False))))
+    got = lambda f: F.col(f"_read.{f}")
     df = df.select(
         *docs.columns,
         T.classify(F.col(text)).alias("kind"),
         got("total").alias("total_cents"),
-        access_key(lines).alias("access_key"),
-        F.col("_cnpj.value").alias("issuer_cnpj"),
-        name.alias("issuer_name"),
-        F.coalesce(F.col("_found.issued.value.value"), alone).alias("issued"),
-        F.coalesce(F.col("_found.issued.value.ambiguous"), F.lit(False)).alias("issued_ambiguous"),
-        F.col("_found.due.value.value").alias("due"),
+        got("access_key"),
+        got("cnpj").alias("issuer_cnpj"),
+        F.when(ocr, N.recover_ocr_text(got("issuer"))).otherwise(got("issuer")).alias("issuer_name"),
+        got("issued"),
+        F.coalesce(got("issued_ambiguous"), F.lit(False)).alias("issued_ambiguous"),
+        got("due"),
         N.order_number(got("number")).alias("order_no"),
         got("discount").alias("discount_cents"),
         got("freight").alias("freight_cents"),
         N.payment_form_read(got("payment")).alias("payment_form"),
-        got("notes").alias("notes"),
-        items(lines, br).alias("items"),
+        got("notes"),
+        F.coalesce(got("items"), F.array().cast(f"array<struct<{reading.ITEM}>>")).alias("items"),
         T.injection_lines(F.col(text)).alias("suspicious_lines"),
-        F.struct(*[(F.when(labelled, F.col("_found.issuer.rank")) if f == "issuer" else F.col(f"_found.{f}.rank")).alias(f) for f in kinds]).alias("_rank"),
+        got("ranks").alias("_rank"),
     )
     scores = read_scores(ocr)
     pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), s.alias("value")) for f, s in scores.items()]), lambda x: x["value"].isNotNull())

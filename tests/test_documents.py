@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import decision, identity, ledger, merge, review
+from tallyweave.operators import decision, identity, ledger, merge, reading, review
 from tallyweave.operators.extraction import extract
 from tallyweave.plans.fixtures import decisions
 from tallyweave.sources import envelopes, files, sinks
@@ -162,3 +162,23 @@ def test_issuer(spark):
     got = extract(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "i int, text string")).orderBy("i").collect()
     digits = lambda x: None if x is None else "".join(c for c in x if c.isdigit())
     assert [(r.issuer_cnpj, r.issuer_name) for r in got] == [(digits(n), name) for _, n, name in texts]
+
+
+def test_extraction_reads_a_text_in_one_pass(spark):
+    """The plan hands each text over once; searching it label by label in expressions made a plan of 300,000 characters."""
+    got = extract(spark.createDataFrame([(1, INVOICE)], "id int, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000 and plan.count("ArrowEvalPython") == 1
+
+
+def test_reading_of_odd_texts():
+    row = lambda text, message=False: dict(zip([*reading.FOUND, "ambiguous", "key", "cnpj", "items", "ranks"], reading.read(text, message), strict=True))
+    assert row(None) == row("") and row(None)["total"] is None and row("TOTAL 0,00")["total"] == 0
+    assert row("VALOR\nTOTAL A PAGAR\n\n \n7,50\nTOTAL 9,00")["total"] == 900  # a label on its own line counts last
+    assert row("TOTAL A PAGAR\n\n \n7,50")["total"] == 750 and row("TOTAL A PAGAR\n\n\n\n7,50")["total"] is None
+    large = "999" + ".999" * 7 + ",00"
+    assert row(f"TOTAL {large}\nTOTAL 1.234,56")["total"] == 123456 and row("TOTAL 1.234.56")["total"] == 12345600
+    assert row("EMISSAO: 31/02/2026 ou 1/2/2026")["issued"] is None and row("EMISSAO: 01/02/26")["ambiguous"]
+    assert row("ate 2026-02-01 ou 01/02/2026", True)["issued"] == dt.date(2026, 2, 1) and row("2026-02-01 e 2026-02-03", True)["issued"] is None
+    (item,) = row("PRODUTO\n01) Cabo  1.234,5000005 mt 2,00 3,00\nFRETE 1,00\n02) Fio 1 UN 2,00 3,00")["items"]
+    assert [str(x) for x in item] == ["1", "Cabo", "1234.500001", "MT", "200", "300"]
