@@ -67,9 +67,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and offset; null and empty texts are one separator
-    each, repeated rows are packed as often as they come."""
-    return packing.pack_documents(docs.select(*DOCUMENT_COLUMNS), cache_bytes=WORD_CACHE)
+    """Token pieces of all documents with their sequence and offset, sequences in the order of the documents,
+    that is of the mixture; null and empty texts are one separator each, repeated rows are packed as often as they come."""
+    placed = mixing.file_order(docs.select(*DOCUMENT_COLUMNS))
+    return packing.in_order(packing.pack_documents(placed, cache_bytes=WORD_CACHE)).drop("place")
 
 
 STAGES = [

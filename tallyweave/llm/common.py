@@ -115,14 +115,15 @@ def salts_for(n_rows: int) -> int:
     return max(8, -(-n_rows // ROWS_PER_SALT))
 
 
-def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], salts: int, name: str = "rank") -> DataFrame:
+def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], salts: int, name: str = "rank", salt: Column | None = None) -> DataFrame:
     """Gapless rank from 0 within ``keys``, without one task ever holding a whole key.
 
     Rows of a key are dealt over ``salts`` by a hash of ``order`` and numbered within each
     salt; small counts by (key, salt) give every salt its first number. ``order`` should tell
     the rows of a key apart; fully equal rows of a key share a salt and are numbered anyhow.
+    A ``salt`` that rises with ``order`` (0 to ``salts`` - 1) makes the rank follow that order.
     """
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    dealt = df.withColumn("_salt", (F.pmod(F.xxhash64(*order), F.lit(salts)) if salt is None else salt).cast("int"))
     counts = dealt.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

@@ -21,6 +21,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,6 +162,20 @@ def in_order(mixed: DataFrame, rows: int) -> DataFrame:
     return mixed.repartitionById(n, F.least(F.floor(F.col("position") * n / max(1, rows)), F.lit(n - 1)).cast("int")).sortWithinPartitions("position")
 
 
+def file_order(docs: DataFrame) -> DataFrame:
+    """Adds ``place``, which rises from row to row and from file to file, as :func:`in_order` had them
+    written; a table that isn't read from files is taken in the order of its partitions."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        part, every = F.spark_partition_id(), F.monotonically_increasing_id()
+        rows = docs.select("*", F.lpad(part.cast("string"), 10, "0").alias("_file"), every.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    ends = sorted((r["_file"], r.n) for r in rows.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect())
+    first = [*accumulate((n for _, n in ends), initial=0)]
+    found = docs.sparkSession.createDataFrame([(f, at) for (f, _), at in zip(ends, first, strict=False)], "_name string, _first long")
+    return rows.join(F.broadcast(found), F.col("_file") == F.col("_name")).withColumn("place", F.col("_first") + F.col("_row")).drop("_file", "_row", "_name", "_first")
+
+
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing order of all documents: doc_id, source, block, position."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("_text"))

@@ -9,6 +9,11 @@ A plan is a list of runs: pieces of one length, ranks ``first`` to ``first + cou
 sequences ``base`` onwards, one each, at one offset. Its size follows the number of distinct
 lengths (the capacity at most), never the number of pieces, so it is made on the driver and
 broadcast. The rows themselves are only ranked within their length and looked up.
+
+Pieces that come with a place in an order keep it: sequences of one composition are spread evenly
+over the whole, and the pieces of each length fill its slots from the first sequence to the last
+by place. Any share of the sequences, from the first on, so holds that share of every length's
+pieces, the earliest ones.
 """
 
 from __future__ import annotations
@@ -35,23 +40,27 @@ WORD_CACHE = 128 << 20
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE, cache_bytes: int = WORD_CACHE) -> DataFrame:
-    """Each text's ids and then the separator, cut every ``capacity`` ids: one row for each piece."""
+    """Each text's ids and then the separator, cut every ``capacity`` ids: one row for each piece, with
+    its document's ``place`` if there is one."""
+    placed = ["place"] if "place" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = worker_cache(f"words {vocabulary} {cache_bytes}", lambda: WordIds(vocabulary, cache_bytes))
         end, wide = SEPARATOR.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
-            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            out: list[list[int]] = [[] for _ in names]
+            beside = [batch.column(c).to_pylist() for c in placed]
+            for doc_id, value, *more in zip(batch.column("doc_id").to_pylist(), batch.column("text"), *beside, strict=True):
                 ids = ids_of(value.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), wide)):
                     part = ids[at : at + wide]
-                    for column, x in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for column, x in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *more), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(worker_pass(run, cached=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *placed]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *placed)
+    return rows.mapInArrow(worker_pass(run, cached=True), ", ".join(f"{c} {'int' if c == 'piece' else 'long'}" for c in names))
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -177,8 +186,52 @@ def plan_from(counts: dict[int, int], capacity: int, groups: int, share: float)
     return runs, sequences
 
 
+#: Bits of a sequence's time in the order, and of the number of its composition, in its id.
+TIME_BITS, KIND_BITS = 30, 24
+#: Numbers that one step of a search for times holds at once.
+SEARCH = 1 << 18
+
+
+def slots_in_order(runs: list[tuple[int, int, int, int, int]]) -> dict[int, tuple[np.ndarray, ...]]:
+    """The slots of each length (sequences, composition, offset) by composition. A composition is
+    a stretch of sequences that no run begins or ends in."""
+    cuts = np.unique(np.array([x for _, _, count, base, _ in runs for x in (base, base + count)], dtype=np.int64))
+    if len(cuts) > 1 << KIND_BITS:
+        raise ValueError("more compositions than their numbers have room for")
+    slots: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for length, _, count, base, offset in runs:
+        first, last = np.searchsorted(cuts, (base, base + count))
+        slots[length] += [(int(cuts[k + 1] - cuts[k]), int(k), offset) for k in range(first, last)]
+    return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*sorted(own, key=lambda s: s[1:]), strict=True)) for x, own in slots.items()}
+
+
+def _until(time: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """How many of so many sequences, spread evenly, come at or before a time: number j of n is at (2 j + 1) / 2 n of the whole."""
+    return ((((time + 1) * many - 1) >> (TIME_BITS - 1)) + 1) // 2
+
+
+def nth_slots(slots: tuple[np.ndarray, ...], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence ids and offsets of a length's slots by their rank in the order of the sequences."""
+    many, kind, offset = slots
+    sizes, times = np.unique(many, return_counts=True)
+    sequence, start = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+    step = max(1, SEARCH // len(many))
+    for at in range(0, len(rank), step):
+        own = rank[at : at + step]
+        low, high = np.zeros(len(own), np.int64), np.full(len(own), (1 << TIME_BITS) - 1, np.int64)
+        for _ in range(TIME_BITS):
+            middle = (low + high) // 2
+            enough = _until(middle[:, None], sizes) @ times > own
+            low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
+        until, before = _until(high[:, None], many), _until(high[:, None] - 1, many)
+        found = ((until - before).cumsum(axis=1) > (own - before.sum(axis=1))[:, None]).argmax(axis=1)
+        sequence[at : at + step], start[at : at + step] = high << KIND_BITS | kind[found], offset[found]
+    return sequence, start
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` tokens.
+    """Adds ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` tokens; with a ``place``,
+    sequences in ascending order of their ids follow it (the ids then have gaps).
 
     The histogram has ``capacity`` rows at most. Ranks within a length are dealt over salts, so
     a length that a third of all pieces share is not one task. Equal pieces may take each
@@ -186,10 +239,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    ordered = "place" in pieces.columns
+    last = F.max("place") if ordered else F.lit(0)
+    found = pieces.groupBy("length").agg(F.count("*").alias("n"), last.alias("last")).collect()
+    counts = {r["length"]: r["n"] for r in found}
     runs, _ = plan(counts, capacity)
     by_length: dict[int, tuple[np.ndarray, ...]] = {}
-    for length in counts:
+    if ordered:
+        by_length = slots_in_order(runs)
+    for length in () if ordered else counts:
         own = sorted(r[1:] for r in runs if r[0] == length)
         by_length[length] = tuple(np.array(x, dtype=np.int64) for x in zip(*own, strict=True))
     shared = spark.sparkContext.broadcast(by_length)
@@ -200,21 +258,36 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for x in np.unique(length):
                 at = length == x
+                if ordered:
+                    sequence[at], offset[at] = nth_slots(shared.value[int(x)], rank[at])
+                    continue
                 first, _, base, start = shared.value[int(x)]
                 i = np.searchsorted(first, rank[at], "right") - 1
                 sequence[at], offset[at] = base[i] + rank[at] - first[i], start[i]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    ranked = salted_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], salts_for(max(counts.values(), default=0)))
+    salts = salts_for(max(counts.values(), default=0))
+    if ordered:
+        places = max((r["last"] for r in found), default=0) + 1
+        ranked = salted_rank(pieces, ["length"], ["place", "piece"], salts, salt=F.floor(F.col("place") * salts / places))
+    else:
+        ranked = salted_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], salts)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.select(*pieces.columns, "rank").mapInArrow(worker_pass(look_up, cached=True), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE, cache_bytes: int = WORD_CACHE) -> DataFrame:
     """Pieces of all documents with their places. Null and empty texts are one separator each;
-    repeated rows are packed as often as they come."""
+    repeated rows are packed as often as they come; documents with a ``place`` are packed in that order."""
     return pack(token_pieces(docs, capacity, vocabulary, cache_bytes), capacity)
 
 
+def in_order(packed: DataFrame) -> DataFrame:
+    """Pieces of ordered sequences dealt by ranges of them, in order within each and from one to the next."""
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.shiftright(F.shiftright("sequence_id", KIND_BITS) * n, TIME_BITS).cast("int")
+    return packed.repartitionById(n, part).sortWithinPartitions("sequence_id", "offset")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))

@@ -89,3 +89,35 @@ def test_toxic_rows_go_by_their_own_text(spark, tmp_path):
     bad = {r.doc_id for r in toxicity.toxicity_scores(docs, table(spark, sf, "labels")).filter("predicted = 1").collect()}
     kept = {r.doc_id for r in C.keep_clean(spark, docs, sf).collect()}
     assert kept == {r.doc_id for r in docs.collect()} - bad and bad
+
+
+def test_packing_follows_the_mixture(spark, tmp_path):
+    """Sequences from the first on hold the documents of the mixture from the first on, whatever their ids and sources."""
+    rng = random.Random(3)
+    words = "time year people way day man thing woman life child world school state family".split()
+    sizes = [3, 40, 41, 300, 700, 1100, 3000]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice(sizes))), "en", "s0" if i < 900 else "s1", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    packed = {}
+    for name, order in (("mixed", lambda d: C.mix_sources(spark, d, "")), ("by id", lambda d: d.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"))):
+        path = str(tmp_path / name.replace(" ", "-"))
+        order(docs).write.parquet(path)
+        parts = sorted(p.name for p in (tmp_path / name.replace(" ", "-")).glob("part-*"))
+        ids = [r.doc_id for p in parts for r in spark.read.parquet(f"{path}/{p}").select("doc_id").collect()]
+        place = {x: i for i, x in enumerate(ids)}
+        got = C.pack_sequences(spark, spark.read.parquet(path), "").collect()
+        keys = sorted((r.sequence_id, r.offset, r.length, place[r.doc_id], r.piece) for r in got)
+        ends = {}
+        for s, offset, length, _, _ in keys:  # gapless from 0, 2048 at most
+            assert offset == ends.get(s, 0)
+            ends[s] = offset + length
+        assert max(ends.values()) <= 2048
+        last = {}
+        for _, _, length, at, piece in keys:  # of each length, pieces in the order of their documents
+            assert (at, piece) > last.get(length, (-1, -1))
+            last[length] = (at, piece)
+        packed[name] = (len(ends), keys)
+        half = {s for s in sorted(ends)[: len(ends) // 2]}
+        early = [at for s, _, _, at, _ in keys if s in half]
+        assert sum(at < 600 for at in early) > 0.9 * len(early)
+    assert packed["mixed"][0] == packed["by id"][0] and packed["mixed"][1] != packed["by id"][1]
