@@ -205,15 +205,21 @@ def slots_in_order(runs: list[tuple[int, int, int, int, int]]) -> dict[int, tupl
     return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*sorted(own, key=lambda s: s[1:]), strict=True)) for x, own in slots.items()}
 
 
-def _until(time: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """How many of so many sequences, spread evenly, come at or before a time: number j of n is at (2 j + 1) / 2 n of the whole."""
-    return ((((time + 1) * many - 1) >> (TIME_BITS - 1)) + 1) // 2
+def _phases(kind: np.ndarray) -> np.ndarray:
+    """Where in its first step a composition begins, by the golden section: rare ones don't meet in the middle."""
+    return kind * 0x278DDE6D & (1 << TIME_BITS) - 1
+
+
+def _until(time: np.ndarray, many: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    """How many of so many sequences, spread evenly, come at or before a time: number j of n is at (j + phase) / n of the whole."""
+    return (((time + 1) * many - 1 - phase) >> TIME_BITS) + 1
 
 
 def nth_slots(slots: tuple[np.ndarray, ...], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequence ids and offsets of a length's slots by their rank in the order of the sequences."""
     many, kind, offset = slots
-    sizes, times = np.unique(many, return_counts=True)
+    each, times = np.unique(kind, return_counts=True)
+    sizes = many[np.searchsorted(kind, each)]
     sequence, start = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
     step = max(1, SEARCH // len(many))
     for at in range(0, len(rank), step):
@@ -221,9 +227,9 @@ def nth_slots(slots: tuple[np.ndarray, ...], rank: np.ndarray) -> tuple[np.ndarr
         low, high = np.zeros(len(own), np.int64), np.full(len(own), (1 << TIME_BITS) - 1, np.int64)
         for _ in range(TIME_BITS):
             middle = (low + high) // 2
-            enough = _until(middle[:, None], sizes) @ times > own
+            enough = (_until(middle[:, None], sizes, _phases(each)) * times).sum(axis=1) > own
             low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
-        until, before = _until(high[:, None], many), _until(high[:, None] - 1, many)
+        until, before = (_until(x[:, None], many, _phases(kind)) for x in (high, high - 1))
         found = ((until - before).cumsum(axis=1) > (own - before.sum(axis=1))[:, None]).argmax(axis=1)
         sequence[at : at + step], start[at : at + step] = high << KIND_BITS | kind[found], offset[found]
     return sequence, start
